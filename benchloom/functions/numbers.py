@@ -35,6 +35,12 @@ def positive_number(text: Column) -> Column:
     return F.when(value > 0, value)
 
 
+def first_positive(texts: Column) -> Column:
+    """First positive number in an array of texts."""
+    values = F.transform(texts, lambda t: F.trim(t).try_cast("double"))
+    return F.try_element_at(F.filter(values, lambda v: v > 0), F.lit(1))
+
+
 def measured(value: Column) -> Column:
     """A metric value counts only when it is above 0."""
     return F.when(value > 0, value)

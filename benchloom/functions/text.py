@@ -33,9 +33,18 @@ def last_match(text: Column, pattern: str, group: int = 0) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+def first_found(text: Column, patterns: Iterable[tuple[str, int]]) -> Column:
+    """Match of the first pattern that occurs, given as (pattern, group); null when none does.
+
+    An array evaluates each pattern once; nested conditions would repeat them in the generated code.
+    """
+    found = F.array(*[F.regexp_extract(text, pattern, group) for pattern, group in patterns])
+    return F.try_element_at(F.filter(found, lambda m: m != ""), F.lit(1))
+
+
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     """First match of ``pattern``, null when there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return first_found(text, [(pattern, group)])
 
 
 def lines(text: Column) -> Column:

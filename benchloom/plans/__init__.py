@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["runs"]
+MODULES = ["runs", "extraction"]
 
 
 def _load():

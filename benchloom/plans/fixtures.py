@@ -51,7 +51,14 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
     ),
     "responses": (
         ["documents"],
-        "SELECT doc_id AS question_id, text AS response, source AS model, lang AS task FROM {documents}",
+        """SELECT doc_id AS question_id, source AS model, lang AS task, concat(text, CASE doc_id % 8
+           WHEN 0 THEN concat(chr(10), 'Final answer: $1,234.50')
+           WHEN 1 THEN concat(chr(10), 'Steps: **12**', chr(10), 'So the total is **Sum: 3** then **', cast(doc_id as
+             varchar(20)), '** of 9')
+           WHEN 2 THEN concat(' and 3 + 4 = ', cast(doc_id % 50 as varchar(20)), '.')
+           WHEN 3 THEN concat(chr(10), '**Heading: 5**', chr(10), '**about -17%**', chr(10))
+           WHEN 4 THEN concat(chr(10), '#### ', cast(doc_id % 9 as varchar(20)), ' apples')
+           ELSE '' END) AS response FROM {documents}""",
     ),
     # Benchmark items with four choices and a gold answer that is a letter, an index, a choice text or wrong.
     "items": (

@@ -63,3 +63,13 @@ def r2(value: str) -> str:
 
 def r4(value: str) -> str:
     return r(value, 4)
+
+
+def pct(value: str, point: float) -> str:
+    """Interpolated percentile of a group written out, as SQL."""
+    ordered = f"list_sort(list({value}) FILTER (WHERE {value} IS NOT NULL))"
+    rank = f"({point}::double * (count({value}) - 1))"
+    return (
+        f"({ordered}[cast(floor({rank}) AS int) + 1] * (1 - ({rank} - floor({rank}))) + "
+        f"{ordered}[cast(ceil({rank}) AS int) + 1] * ({rank} - floor({rank})))"
+    )

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from benchloom.operators import runs as ops
 from benchloom.operators.ordered import exact_percentiles
 from benchloom.functions.numbers import round2
-from benchloom.plans.registry import query, r1, r2
+from benchloom.plans.registry import pct, query, r1, r2
 
 _STATS = f"""
-SELECT key, count(*) AS runs, count(v) AS metric_runs, {r2('min(v)')} AS min, {r2('quantile_cont(v, 0.5)')} AS p50,
-  {r2('avg(v)')} AS mean, {r2('max(v)')} AS max, {r2('quantile_cont(v, 0.95)')} AS p95,
+SELECT key, count(*) AS runs, count(v) AS metric_runs, {r2('min(v)')} AS min, {r2(pct('v', 0.5))} AS p50,
+  {r2('avg(v)')} AS mean, {r2('max(v)')} AS max, {r2(pct('v', 0.95))} AS p95,
   {r2('stddev_samp(v)')} AS stddev, {r2('max(v)')} AS best,
   arg_min(path, struct_pack(a := -v, b := path)) FILTER (WHERE v IS NOT NULL) AS best_run
 FROM (SELECT quantization AS key, path, CASE WHEN tok_s_out > 0 THEN tok_s_out END AS v FROM runs) GROUP BY key"""
@@ -89,7 +89,7 @@ def _(t):
 
 @query(
     "metric_summary",
-    f"""SELECT count(v) AS count, {r2('min(v)')} AS min, {r2('quantile_cont(v, 0.5)')} AS p50, {r2('avg(v)')} AS mean,
+    f"""SELECT count(v) AS count, {r2('min(v)')} AS min, {r2(pct('v', 0.5))} AS p50, {r2('avg(v)')} AS mean,
         {r2('max(v)')} AS max, {r2('stddev_samp(v)')} AS stddev
         FROM (SELECT CASE WHEN tok_s_out > 0 THEN tok_s_out END AS v FROM runs)""",
 )
@@ -99,8 +99,8 @@ def _(t):
 
 @query(
     "interp_percentile",
-    f"""SELECT hf_id, count(*) AS n, {r2('quantile_cont(tok_s_prefill, 0.05)')} AS p5,
-        {r2('quantile_cont(tok_s_prefill, 0.5)')} AS p50, {r2('quantile_cont(tok_s_prefill, 0.99)')} AS p99
+    f"""SELECT hf_id, count(*) AS n, {r2(pct('tok_s_prefill', 0.05))} AS p5,
+        {r2(pct('tok_s_prefill', 0.5))} AS p50, {r2(pct('tok_s_prefill', 0.99))} AS p99
         FROM runs GROUP BY hf_id""",
 )
 def _(t):
