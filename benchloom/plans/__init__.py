@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["runs", "extraction"]
+MODULES = ["runs", "extraction", "scoring"]
 
 
 def _load():
