@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchloom.functions import naming
+from benchloom.functions.text import strip
 
 
 def candidate_task_type(stated: Column, question: Column) -> Column:
@@ -203,8 +204,8 @@ def nearest_vocab(labels: DataFrame, vocabulary: DataFrame, label: str, word: st
 def gold_in_input(items: DataFrame, golds: DataFrame, key: str, least_bytes: int = 4) -> DataFrame:
     """Items whose own gold answer, kept in a separate table, stands in their input (case ignored)."""
     rows = items.join(golds, key)
-    gold = F.lower(F.trim("gold"))
-    return rows.where((F.octet_length(F.trim("gold")) >= least_bytes) & F.contains(F.lower("input"), gold))
+    gold = strip(F.col("gold"))
+    return rows.where((F.octet_length(gold) >= least_bytes) & F.contains(F.lower("input"), F.lower(gold)))
 
 
 def holdout_check(records: DataFrame, evaluation: DataFrame, key: str, acknowledged: bool) -> DataFrame:

@@ -97,6 +97,22 @@ def drop_marks(df: DataFrame) -> DataFrame:
     return df.drop("_bucket", "_row")
 
 
+# A key with at least this many rows is hot.  A table of r rows has at most r / HOT_ROWS hot keys, so
+# the hot side of a lookup stays small enough to send to every executor: 1e11 rows give 1e5 keys.
+HOT_ROWS = 1_000_000
+
+
+def lookup_by_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join rows to a table with one row per key, without moving the rows of hot keys.
+
+    ``count`` is the number of rows a key has.  Hot keys are sent to the rows; the other keys
+    meet their rows in a shuffle that no longer holds a large group.
+    """
+    hot = F.broadcast(per_key.where(F.col(count) >= hot_rows))
+    cold = per_key.where(F.col(count) < hot_rows)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Per key: the count ``n`` and linearly interpolated percentiles, exact for groups of any size.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["runs", "extraction", "scoring"]
+MODULES = ["runs", "extraction", "scoring", "joins", "measure", "quality", "training"]
 
 
 def _load():
