@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["runs", "extraction", "scoring", "joins", "measure", "quality", "training", "market", "inventory"]
+MODULES = ["runs", "extraction", "scoring", "joins", "measure", "quality", "training", "market", "inventory", "sources", "streaming"]
 
 
 def _load():
