@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 
 from benchloom.session import materialize
 
-_IN_SLICE = Window.partitionBy("_bucket").orderBy("_row")
-_SLICES = Window.orderBy("_bucket")  # over the slice table: one row per sorted slice
+
+def _in_slice():
+    return Window.partitionBy("_bucket").orderBy("_row")
+
+
+def _slices():
+    """Over the slice table, which has one row per sorted slice."""
+    return Window.orderBy("_bucket")
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -44,7 +50,7 @@ def with_position(seq: DataFrame, name: str = "position") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
             "_bucket",
-            F.coalesce(F.sum("_n").over(_SLICES.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+            F.coalesce(F.sum("_n").over(_slices().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
         )
     )
     # One row per sorted slice, so never more rows than shuffle partitions.
@@ -57,10 +63,10 @@ def with_previous(seq: DataFrame, keys: Sequence[str], columns: Sequence[str], p
     last = (
         seq.groupBy("_bucket")
         .agg(F.max_by("_here", "_row").alias("_last"))
-        .select("_bucket", F.lag("_last").over(_SLICES).alias("_border"))
+        .select("_bucket", F.lag("_last").over(_slices()).alias("_border"))
     )
     seq = seq.join(F.broadcast(last), "_bucket").withColumn(
-        "_before", F.coalesce(F.lag("_here").over(_IN_SLICE), F.col("_border"))
+        "_before", F.coalesce(F.lag("_here").over(_in_slice()), F.col("_border"))
     )
     same = F.col("_before.k").eqNullSafe(F.col("_here.k"))
     for c in columns:
@@ -81,7 +87,7 @@ def with_running_sum(seq: DataFrame, keys: Sequence[str], value: str | Column, n
     carry = edges.select(
         "_bucket",
         "_first",
-        F.when(F.lag("_last").over(_SLICES).eqNullSafe(F.col("_first")), F.lag("_upto").over(_SLICES)).alias("_carry"),
+        F.when(F.lag("_last").over(_slices()).eqNullSafe(F.col("_first")), F.lag("_upto").over(_slices())).alias("_carry"),
     )
     return (
         seq.join(F.broadcast(carry), "_bucket")

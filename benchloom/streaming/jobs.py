@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from benchloom.operators.measure import request_metrics
 from benchloom.session import new_path
+from benchloom.streaming.processors import ChangeNotices, CounterDelta, RepeatDetector
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -145,93 +145,6 @@ def coverage_join(results: DataFrame, catalog: DataFrame, key: str) -> DataFrame
 # ---------------------------------------------------------------- state per key
 
 
-class _Ordered(StatefulProcessor):
-    """Rows of one key and batch in event order; subclasses keep one value of state."""
-
-    state_schema = T.StructType()
-    order = ["ts", "event_id"]
-    ttl_ms: int | None = None
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        if self.ttl_ms:
-            self.state = handle.getValueState("last", self.state_schema, self.ttl_ms)
-        else:
-            self.state = handle.getValueState("last", self.state_schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        last = self.state.get() if self.state.exists() else None
-        out, last = self.fold(key, batch, last)
-        self.state.update(last)
-        yield out
-
-    def fold(self, key, batch: pd.DataFrame, last):
-        raise NotImplementedError
-
-    def close(self) -> None:
-        pass
-
-
-class ChangeNotices(_Ordered):
-    """A notice when the check state of a listing model differs from the one seen before."""
-
-    state_schema = T.StructType([T.StructField("state", T.StringType())])
-
-    def fold(self, key, batch, last):
-        seen = last[0] if last else None
-        states = batch["state"]
-        before = states.shift(1)
-        before.iloc[0] = seen
-        changed = batch[(states != before) & states.isin(["warning", "failed"])]
-        out = pd.DataFrame(
-            {"listing": key[0], "model": key[1], "event_id": changed["event_id"], "state": changed["state"]}
-        )
-        return out, (states.iloc[-1],)
-
-
-class RepeatDetector(_Ordered):
-    """A warning at the third equal (command, output) in a row and a stop from the sixth."""
-
-    state_schema = T.StructType([T.StructField("print", T.StringType()), T.StructField("repeats", T.LongType())])
-
-    def fold(self, key, batch, last):
-        prints = batch["print"]
-        new = prints != prints.shift(1)
-        new.iloc[0] = last is None or last[0] != prints.iloc[0]
-        island = new.cumsum()
-        repeats = batch.groupby(island).cumcount() + 1
-        if last is not None:
-            repeats = repeats + (island == 0) * int(last[1])
-        hit = (repeats == 3) | (repeats >= 6)
-        out = pd.DataFrame(
-            {
-                "run": key[0],
-                "event_id": batch["event_id"][hit],
-                "repeats": repeats[hit].astype("int64"),
-                "action": repeats[hit].ge(6).map({True: "stop", False: "warn"}),
-            }
-        )
-        return out, (prints.iloc[-1], int(repeats.iloc[-1]))
-
-
-class CounterDelta(_Ordered):
-    """Growth of a counter since the previous scrape; a falling counter is a reset."""
-
-    state_schema = T.StructType([T.StructField("counter", T.LongType())])
-
-    def fold(self, key, batch, last):
-        counter = batch["counter"].astype("Int64")
-        before = counter.shift(1)
-        if last is not None:
-            before.iloc[0] = int(last[0])
-        growth = counter - before
-        reset = growth.lt(0).fillna(False)
-        out = pd.DataFrame(
-            {"source": key[0], "event_id": batch["event_id"], "reset": reset.astype(bool), "delta": growth.mask(reset)}
-        )
-        return out, (int(counter.iloc[-1]),)
-
-
 def _stateful(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return df.groupBy(*keys).transformWithStateInPandas(
