@@ -366,8 +366,8 @@ def json_metrics(simple: Column, timed: Column) -> dict[str, Column]:
 def _with_entries(texts: DataFrame, text: str) -> DataFrame:
     """Parsed forms of a text as columns, so that each is computed once per row."""
     return (
-        texts.withColumn("_table", table_entries(F.col(text)))
-        .withColumn("_rows", result_rows(F.col(text)))
+        texts.withColumn("_table", F.when(F.contains(text, F.lit("|")), table_entries(F.col(text))))
+        .withColumn("_rows", F.when(F.col(text).rlike(r"[\[{]"), result_rows(F.col(text))))
         .withColumn("_rates", row_rates(F.col("_rows")))
         .withColumn("_fields", row_fields(F.col("_rows")))
         .withColumn("_timed", timed_rows(F.col("_fields")))

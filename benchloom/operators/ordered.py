@@ -119,17 +119,37 @@ def lookup_by_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+# Up to this many distinct values a group's value counts fit one task with ease.
+SMALL_GROUP = 1_000_000
+
+
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], small_group: int = SMALL_GROUP
+) -> DataFrame:
     """Per key: the count ``n`` and linearly interpolated percentiles, exact for groups of any size.
 
-    Equal values are counted before the shuffle; ranks come from running counts
-    over the sorted (key, value) pairs, so no task holds a whole group.
+    Equal values are counted before the shuffle and the counts stored.  While every group has few
+    distinct values they are ranked inside the group; if one has more, all are ranked over a sort of
+    the whole table, so no task ever holds a large group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counted, "counts")
+    widest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
+    if (widest or 0) <= small_group:
+        found = counts.groupBy(*keys).agg(
+            F.sum("_n").alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in points.values()]), F.col("_n")).alias("_p")
+        )
+        found = found.where(F.col("n").isNotNull()) if not keys else found
+        return found.select(*keys, "n", *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
+    return _sorted_percentiles(counts, keys, value, points)
+
+
+def _sorted_percentiles(counts: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     ranked = with_running_sum(as_sequence(counts, keys, [value]), keys, "_n", "_upto_n")
-    totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "n")
     on = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    # One row per key on the right; a hot key on the left is split by the adaptive skew join.
     rows = ranked.join(renamed, on, "inner") if keys else ranked.join(F.broadcast(renamed))
 
     picks, wanted = [], F.lit(False)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from benchloom.operators import extraction as ops
 from benchloom.plans.registry import query, r1, r4
+from benchloom.session import spread
 
 # SQL forms of the shared rules, for checking.
 NUM = r"-?\$?\d[\d,]*(?:\.\d+)?%?"
@@ -197,8 +198,7 @@ _LAYERS = f"""SELECT event_id AS run_id, 0 AS layer, CASE event_id % 4
 
 @query(
     "log_metrics",
-    f"""SELECT event_id AS run_id, CASE event_id % 4 WHEN 0 THEN nullif(v, 0) WHEN 2 THEN nullif(v, 0) END AS first_out,
-        CASE event_id % 4 WHEN 0 THEN coalesce(nullif(v, 0), 7.25) WHEN 2 THEN coalesce(nullif(v, 0), 7.25) ELSE 7.25 END
+    f"""SELECT event_id AS run_id, CASE event_id % 4 WHEN 0 THEN coalesce(nullif(v, 0), 7.25) WHEN 2 THEN coalesce(nullif(v, 0), 7.25) ELSE 7.25 END
           AS tok_s_out,
         CASE WHEN event_id % 4 = 1 THEN nullif(v, 0) END AS tok_s_prefill, 99.0 AS tok_s_total,
         CASE WHEN event_id % 4 = 0 THEN nullif(v, 0) END AS ttft_ms,
@@ -206,11 +206,9 @@ _LAYERS = f"""SELECT event_id AS run_id, 0 AS layer, CASE event_id % 4
         FROM (SELECT *, cast(cast(value AS decimal(10,2)) AS double) AS v FROM events)""",
 )
 def _(t):
-    layers = t.spark.sql(_LAYERS, events=t.events)
-    rows = ops.log_metrics(layers)
-    first = ops.log_metrics(layers.where("layer = 0")).select("run_id", F.col("tok_s_out").alias("first_out"))
+    rows = ops.log_metrics(t.spark.sql(_LAYERS, events=spread(t.events)))
     names = ["tok_s_out", "tok_s_prefill", "tok_s_total", "ttft_ms", "peak_vram_gb", "prompt_tokens"]
-    return rows.select("run_id", *names).join(first, "run_id")
+    return rows.select("run_id", *names)
 
 
 _TABLE_TEXT = """SELECT event_id AS run_id, concat('| model | test | t/s |', chr(10), '| m | pp',
@@ -228,7 +226,7 @@ _TABLE_TEXT = """SELECT event_id AS run_id, concat('| model | test | t/s |', chr
        FROM (SELECT *, cast(cast(value AS decimal(10,2)) AS double) AS v FROM events)""",
 )
 def _(t):
-    return ops.bench_table_metrics(t.spark.sql(_TABLE_TEXT, events=t.events), "run_id")
+    return ops.bench_table_metrics(t.spark.sql(_TABLE_TEXT, events=spread(t.events)), "run_id")
 
 
 @query(
@@ -264,7 +262,7 @@ def _json_texts(t):
         v,
         F.lit("}"),
     )
-    return t.events.select(
+    return spread(t.events).select(
         F.col("event_id").alias("run_id"), F.when(F.col("event_id") % 2 == 0, rows).otherwise(timed).alias("text")
     )
 
@@ -282,7 +280,7 @@ def _alias_documents(t):
         F.when(F.col("event_id") % 3 == 0, "null").otherwise((F.col("event_id") % 10).cast("string")),
         F.lit(', "list": []}'),
     )
-    return t.events.select("event_id", deep.alias("doc"))
+    return spread(t.events).select("event_id", deep.alias("doc"))
 
 
 @query(

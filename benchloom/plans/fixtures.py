@@ -9,6 +9,9 @@ TABLES = (
     "conversations"
 ).split()
 
+# Tables of texts, where the work is in the row; in the test data each is one file.
+LARGE = ["documents", "pages", "conversations"]
+
 # name: (tables or record sets it reads, SQL)
 FIXTURES: dict[str, tuple[list[str], str]] = {
     # One record per measured run.

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.plans.fixtures import FIXTURES, TABLES, with_fixtures
+from benchloom.plans.fixtures import FIXTURES, LARGE, TABLES, with_fixtures
+from benchloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._known:
             if name in TABLES:
-                self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._known[name] = spread(table) if name in LARGE else table
             elif name in FIXTURES:
                 needs, sql = FIXTURES[name]
                 self._known[name] = self.spark.sql(
