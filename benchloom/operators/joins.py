@@ -87,14 +87,14 @@ def task_set_summary(actual: DataFrame, expected: DataFrame, key: str) -> DataFr
 
 
 def mark_loaded(inventory: DataFrame, instances: DataFrame, path: str = "path") -> DataFrame:
-    """Inventory entries with the names of the instances serving them, blank when none does."""
-    names = (
-        instances.select(path, "instance")
-        .distinct()
-        .groupBy(path)
-        .agg(F.array_join(F.array_sort(F.collect_list("instance")), ", ").alias("loaded_as"))
-    )
-    return inventory.join(names, path, "left").withColumn("loaded_as", F.coalesce("loaded_as", F.lit("")))
+    """Inventory entries with the instances serving them: one row per instance, or one with none.
+
+    ``loaded`` counts the instances of the entry.  Names stay rows, so a busy entry makes no long list.
+    """
+    names = instances.select(path, "instance").distinct()
+    counts = names.groupBy(path).agg(F.count(F.lit(1)).alias("loaded"))
+    rows = inventory.join(names, path, "left").join(counts, path, "left")
+    return rows.withColumn("loaded", F.coalesce("loaded", F.lit(0)))
 
 
 def offers_vs_live(offers: DataFrame, live: DataFrame) -> DataFrame:
@@ -107,11 +107,10 @@ def offers_vs_live(offers: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def offer_summary(offers: DataFrame, live: DataFrame) -> DataFrame:
-    """Served models and the changed ones of each listing."""
-    rows = offers_vs_live(offers, live).select("listing", "model", "served").distinct()
+    """Served and changed models of each listing in numbers; ``offers_vs_live`` has them by name."""
+    rows = offers_vs_live(offers, live).groupBy("listing", "model").agg(F.min("served").alias("served"))
     return rows.groupBy("listing").agg(
-        F.count_if("served").alias("served"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("served"), F.col("model")))), ", ").alias("changed"),
+        F.count_if("served").alias("served"), F.count_if(~F.col("served")).alias("changed")
     )
 
 
@@ -125,28 +124,30 @@ def allowlist_check(rows: DataFrame, name: str, allowed: DataFrame) -> DataFrame
     return left.join(F.broadcast(any_allowed), F.lit(True)).drop("_any")
 
 
-def source_candidates(files: DataFrame, repository_files: DataFrame, derived: bool = True) -> DataFrame:
+def source_candidates(files: DataFrame, repository_files: DataFrame) -> DataFrame:
     """Repository holding each file: same name, same name in another case, or same normal name.
 
-    Repositories derived from the file name come first, then candidates in their order.
-    All three rules agree on the normal name, so one join on it finds every candidate.
+    The repository the file name itself points to comes first, then candidates in their order.  All
+    name rules agree on the normal name.  Each normal name keeps its best candidate only, and the
+    pointed-to repository is looked up by name, so a file name found in very many repositories makes
+    no pairs.
     """
-    wanted = files.select(F.col("file"), naming.normal_file_name(F.col("file")).alias("_n"))
-    held = repository_files.select(
-        "repository", "place", F.col("file").alias("_held"), naming.normal_file_name(F.col("file")).alias("_n")
-    )
-    held = held.groupBy("_n", "repository").agg(F.min("place").alias("place"), F.min("_held").alias("_held"))
-    rows = wanted.distinct().join(held, "_n")
     plain = naming.stem(F.col("file"))
     by_name = F.coalesce(
         *[F.nullif(F.regexp_extract(plain, rf"(?i)^(.+?){mark}", 1), F.lit("")) for mark in ("-ud-", "-qat-")]
     )
-    guess = F.concat(F.lit("unsloth/"), by_name, F.lit("-GGUF"))
-    first = F.when(F.col("repository") == guess, 0).otherwise(1) if derived else F.lit(1)
-    best = rows.groupBy("file").agg(
-        F.min(F.struct(first.alias("first"), F.col("place"), F.col("repository"))).alias("b")
+    wanted = files.select(
+        "file",
+        naming.normal_file_name(F.col("file")).alias("_n"),
+        F.concat(F.lit("unsloth/"), by_name, F.lit("-GGUF")).alias("_guess"),
+    ).distinct()
+    held = repository_files.select("repository", "place", naming.normal_file_name(F.col("file")).alias("_n"))
+    best = held.groupBy("_n").agg(F.min(F.struct("place", "repository"))["repository"].alias("_best"))
+    pointed = held.select(F.col("_n").alias("_pn"), F.col("repository").alias("_pointed")).distinct()
+    rows = wanted.join(best, "_n").join(
+        pointed, (F.col("_n") == F.col("_pn")) & (F.col("_guess") == F.col("_pointed")), "left"
     )
-    return best.select("file", F.col("b.repository").alias("repository"))
+    return rows.select("file", F.coalesce("_pointed", "_best").alias("repository"))
 
 
 def _segments(text: Column, length: Column, at: Column, parts: int) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchloom.functions.numbers import round4
@@ -152,18 +152,25 @@ def latest_checks(checks: DataFrame, keys: Sequence[str], order: Sequence[str])
     return first_per_key(checks, keys, [F.desc(c) for c in order])
 
 
-def check_rollup(models: DataFrame, listing: str = "listing") -> DataFrame:
-    """Check column of each listing: failed and warning models by name, else ``ok``, else ``-``.
+def check_rollup(models: DataFrame, listing: str = "listing", width: int = 50) -> DataFrame:
+    """Check cell of each listing: failed and warning models by name, else ``ok``, else ``-``.
 
-    ``models`` holds one row per listing model.
+    ``models`` holds one row per listing model.  A cell shows ``width`` characters, which the first
+    ``width // 3 + 1`` names always fill (a name and its separator are three characters or more), so
+    later names are dropped inside each task before anything is put together.
     """
+    marked = models.where(F.col("state").isin("failed", "warning"))
+    place = F.row_number().over(Window.partitionBy(listing, "state").orderBy("model"))
+    shown = marked.withColumn("_place", place).where(F.col("_place") <= width // 3 + 1)
     names = lambda s: F.array_join(
-        F.array_sort(F.collect_set(F.when(F.col("state") == s, F.col("model")))), ", "
+        F.array_sort(F.collect_list(F.when(F.col("state") == s, F.col("model")))), ", "
     )
-    rows = models.groupBy(listing).agg(
-        names("failed").alias("_failed"), names("warning").alias("_warning"), F.count_if(F.col("state") == "ok").alias("_ok")
+    cells = shown.groupBy(F.col(listing).alias("_listing")).agg(
+        names("failed").alias("_failed"), names("warning").alias("_warning")
     )
-    parts = F.array_join(
+    passed = models.groupBy(listing).agg(F.count_if(F.col("state") == "ok").alias("_ok"))
+    rows = passed.join(cells, F.col(listing) == F.col("_listing"), "left")
+    text = F.array_join(
         F.array_compact(
             F.array(
                 F.when(F.col("_failed") != "", F.concat(F.lit("failed: "), "_failed")),
@@ -172,4 +179,5 @@ def check_rollup(models: DataFrame, listing: str = "listing") -> DataFrame:
         ),
         "; ",
     )
-    return rows.select(listing, F.when(parts != "", parts).when(F.col("_ok") > 0, "ok").otherwise("-").alias("check"))
+    cut = F.when(F.char_length(text) <= width, text).otherwise(F.concat(F.left(text, F.lit(width - 1)), F.lit("…")))
+    return rows.select(listing, F.when(text != "", cut).when(F.col("_ok") > 0, "ok").otherwise("-").alias("check"))

@@ -54,8 +54,9 @@ def map_columns(rows: DataFrame, explicit: Mapping[str, str] | None = None, kind
     missing = [role for role in needed if role not in found]
     if missing:
         raise ValueError(f"no column found for {', '.join(missing)}")
-    names = {column: role for role, column in found.items()}
-    return rows.withColumnsRenamed(names).withColumn("kind", F.lit(kind))
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in found.values()]
+    roles = [F.col(f"`{column}`").alias(role) for role, column in found.items()]
+    return rows.select(*others, *roles, F.lit(kind).alias("kind"))
 
 
 def import_items(rows: DataFrame, kind: str = "qa", separator: str = "|") -> DataFrame:

@@ -109,9 +109,9 @@ def _(t):
 
 @query(
     "mark_loaded",
-    """SELECT p_partkey, path, coalesce(loaded_as, '') AS loaded_as FROM (SELECT p_partkey, concat('/m/', p_partkey) AS path
-         FROM part) LEFT JOIN (SELECT concat('/m/', l_partkey) AS path, string_agg(DISTINCT concat('emx-', l_suppkey), ', '
-         ORDER BY concat('emx-', l_suppkey)) AS loaded_as FROM lineitem WHERE l_quantity > 45 GROUP BY 1) USING (path)""",
+    """SELECT p_partkey, path, instance, coalesce(n, 0) AS loaded FROM (SELECT p_partkey, concat('/m/', p_partkey) AS path FROM part)
+       LEFT JOIN (SELECT concat('/m/', l_partkey) AS path, concat('emx-', l_suppkey) AS instance, count(*) OVER (PARTITION BY l_partkey)
+       AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45)) USING (path)""",
 )
 def _(t):
     path = lambda c: F.concat(F.lit("/m/"), F.col(c).cast("string")).alias("path")
@@ -151,8 +151,8 @@ def _(t):
 
 @query(
     "offer_summary",
-    f"""SELECT listing, count_if(served) AS served, coalesce(string_agg(CASE WHEN NOT served THEN model END, ', ' ORDER BY
-        model), '') AS changed FROM (SELECT DISTINCT listing, model, served FROM ({_SERVED})) GROUP BY listing""",
+    f"""SELECT listing, count_if(served) AS served, count_if(NOT served) AS changed FROM (SELECT listing, model, bool_and(served) AS
+        served FROM ({_SERVED}) GROUP BY ALL) GROUP BY listing""",
 )
 def _(t):
     return ops.offer_summary(*_offers(t))

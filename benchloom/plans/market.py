@@ -143,8 +143,8 @@ def _(t):
          o_orderkey)) AS st FROM orders GROUP BY ALL),
        g AS (SELECT listing, string_agg(CASE WHEN st = 'F' THEN model END, ', ' ORDER BY model) AS f, string_agg(CASE WHEN st = 'P' THEN
          model END, ', ' ORDER BY model) AS w, count_if(st = 'O' AND listing % 4 > 0) AS ok FROM l GROUP BY listing)
-       SELECT listing, CASE WHEN f IS NOT NULL OR w IS NOT NULL THEN concat_ws('; ', 'failed: ' || f, 'warning: ' || w) WHEN ok > 0 THEN
-         'ok' ELSE '-' END AS "check" FROM g""",
+       SELECT listing, CASE WHEN c <> '' THEN CASE WHEN length(c) <= 50 THEN c ELSE left(c, 49) || '…' END WHEN ok > 0 THEN 'ok' ELSE
+         '-' END AS "check" FROM (SELECT *, concat_ws('; ', 'failed: ' || f, 'warning: ' || w) AS c FROM g)""",
 )
 def _(t):
     state = (
