@@ -40,7 +40,8 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
     "samples": (
         ["lineitem"],
         """SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
-           l_suppkey, l_extendedprice, l_shipdate) - 1 AS sample, l_returnflag = 'R' AS passed FROM {lineitem}""",
+           l_suppkey, l_extendedprice, l_shipdate) - 1 AS sample, l_returnflag = 'R' AS passed,
+           l_linestatus = 'O' AS graded FROM {lineitem}""",
     ),
     # Billed requests.
     "usage_ev": (

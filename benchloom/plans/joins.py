@@ -124,12 +124,12 @@ def _(t):
 def _offers(t):
     offers = t.orders.select(
         F.col("o_custkey").alias("listing"),
-        F.concat(F.lit("m"), (F.col("o_orderkey") % 400).cast("string")).alias("model"),
+        F.concat(F.lit("m"), (F.col("o_orderkey") % 3000).cast("string")).alias("model"),
         F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("W"), (F.col("o_orderkey") % 9).cast("string"))).alias(
             "weights_id"
         ),
     )
-    live = t.part.where((F.col("p_partkey") < 400) & (F.col("p_size") > 5)).select(
+    live = t.part.where(F.col("p_size") > 5).select(
         F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model"),
         F.concat(F.lit("w"), (F.col("p_size") % 9).cast("string")).alias("weights_id"),
     )
@@ -138,9 +138,9 @@ def _offers(t):
 
 _SERVED = """SELECT listing, o.model, o.weights_id, NOT (coalesce(o.weights_id, '') <> '' AND
     lower(o.weights_id) <> coalesce(lower(l.weights_id), '')) AS served FROM
-  (SELECT o_custkey AS listing, concat('m', o_orderkey % 400) AS model, CASE WHEN o_orderkey % 5 > 0 THEN
+  (SELECT o_custkey AS listing, concat('m', o_orderkey % 3000) AS model, CASE WHEN o_orderkey % 5 > 0 THEN
     concat('W', o_orderkey % 9) END AS weights_id FROM orders) o LEFT JOIN
-  (SELECT concat('m', p_partkey) AS model, concat('w', p_size % 9) AS weights_id FROM part WHERE p_partkey < 400 AND p_size > 5)
+  (SELECT concat('m', p_partkey) AS model, concat('w', p_size % 9) AS weights_id FROM part WHERE p_size > 5)
   l ON l.model = o.model"""
 
 
@@ -160,11 +160,11 @@ def _(t):
 
 @query(
     "allowlist_check",
-    """SELECT p_partkey, p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 97 = 0)""",
+    """SELECT p_partkey, p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_retailprice > 999.5)""",
 )
 def _(t):
     rows = t.part.select("p_partkey", F.col("p_brand").alias("name"))
-    return ops.allowlist_check(rows, "name", t.part.where(F.col("p_partkey") % 97 == 0).select(F.col("p_brand").alias("name")))
+    return ops.allowlist_check(rows, "name", t.part.where(F.col("p_retailprice") > 999.5).select(F.col("p_brand").alias("name")))
 
 
 _NORMAL = r"""array_to_string(list_filter(string_split_regex(lower(regexp_replace({f}, '\.[^.]*$', '')), '[-_.]+'),
@@ -173,23 +173,23 @@ _NORMAL = r"""array_to_string(list_filter(string_split_regex(lower(regexp_replac
 
 @query(
     "source_candidates",
-    f"""WITH w AS (SELECT DISTINCT upper(file) AS file FROM files WHERE file_id % 3 = 0),
+    f"""WITH w AS (SELECT DISTINCT upper(file) AS file FROM files),
         h AS (SELECT CASE WHEN file_id % 2 = 0 THEN owner ELSE concat('unsloth/', regexp_extract(file, '(?i)^(.+?)-ud-', 1),
-          '-GGUF') END AS repository, file_id AS place, replace(file, '-', '_') AS held FROM files WHERE file_id % 5 <> 1),
+          '-GGUF') END AS repository, file_id AS place, replace(file, '-', '_') AS held FROM files WHERE brand <> 'Brand#1'),
         j AS (SELECT w.file, h.repository, min(h.place) AS place, min(CASE WHEN h.repository = concat('unsloth/',
           nullif(regexp_extract(w.file, '(?i)^(.+?)-ud-', 1), ''), '-GGUF') THEN 0 ELSE 1 END) AS first FROM w JOIN h ON
           {_NORMAL.format(f='w.file')} = {_NORMAL.format(f='h.held')} GROUP BY ALL)
         SELECT file, arg_min(repository, struct_pack(a := first, b := place, c := repository)) AS repository FROM j GROUP BY file""",
 )
 def _(t):
-    held = t.files.where(F.col("file_id") % 5 != 1).select(
+    held = t.files.where(F.col("brand") != "Brand#1").select(
         F.when(F.col("file_id") % 2 == 0, F.col("owner"))
         .otherwise(F.concat(F.lit("unsloth/"), F.regexp_extract("file", "(?i)^(.+?)-ud-", 1), F.lit("-GGUF")))
         .alias("repository"),
         F.col("file_id").alias("place"),
         F.translate("file", "-", "_").alias("file"),
     )
-    return ops.source_candidates(t.files.where(F.col("file_id") % 3 == 0).select(F.upper("file").alias("file")), held)
+    return ops.source_candidates(t.files.select(F.upper("file").alias("file")), held)
 
 
 _LABELS = """SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'e', '') WHEN 1 THEN concat('x', p_name) WHEN 2 THEN
@@ -243,9 +243,9 @@ def _(t):
 @query(
     "counter_delta_join",
     """WITH s AS (SELECT user_id, epoch_us(ts) AS ts, event_id, floor(value)::bigint AS draft, event_id AS accepted FROM events
-         WHERE event_id % 3 > 0),
+         WHERE event_type <> 'signup'),
        w AS (SELECT user_id, event_id AS window_id, epoch_us(ts) AS a, epoch_us(ts) + 36000000000 AS b FROM events WHERE
-         event_id % 3 = 0),
+         event_type = 'signup'),
        j AS (SELECT w.user_id, w.window_id, arg_max(draft, struct_pack(x := s.ts, y := s.event_id)) FILTER (WHERE s.ts <= a) AS d0,
          arg_max(accepted, struct_pack(x := s.ts, y := s.event_id)) FILTER (WHERE s.ts <= a) AS a0,
          arg_max(draft, struct_pack(x := s.ts, y := s.event_id)) FILTER (WHERE s.ts <= b) AS d1,
@@ -257,11 +257,11 @@ def _(t):
 )
 def _(t):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = t.events.select("user_id", "event_id", micros.alias("ts"), F.floor("value").cast("bigint").alias("draft"))
-    scrapes = rows.where(F.col("event_id") % 3 > 0).select(
+    rows = t.events.select("user_id", "event_id", "event_type", micros.alias("ts"), F.floor("value").cast("bigint").alias("draft"))
+    scrapes = rows.where(F.col("event_type") != "signup").select(
         "user_id", "ts", F.col("event_id").alias("scrape_id"), "draft", F.col("event_id").alias("accepted")
     )
-    windows = rows.where(F.col("event_id") % 3 == 0).select(
+    windows = rows.where(F.col("event_type") == "signup").select(
         "user_id",
         F.col("event_id").alias("window_id"),
         F.col("ts").alias("start_ts"),

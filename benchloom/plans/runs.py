@@ -119,14 +119,14 @@ def _pair_sql(metric: str, lower: bool) -> str:
     return f"""SELECT l.run_id AS run_id, '{metric}' AS metric, {r2(v)} AS value, {r2(b)} AS baseline_value,
       CASE WHEN {both} THEN {r2(delta)} END AS delta, CASE WHEN {both} THEN {r2(f'({v} / {b})')} END AS ratio,
       CASE WHEN {both} THEN {r2(f'({delta} / {b} * 100)')} END AS percent, CASE WHEN {both} THEN {better} END AS better
-      FROM runs l JOIN runs r ON r.run_id = l.run_id + 1 WHERE l.run_id % 2 = 0 AND NOT ({v} = 0 AND {b} = 0)"""
+      FROM runs l JOIN runs r ON r.run_id = l.run_id + 1 WHERE NOT ({v} = 0 AND {b} = 0)"""
 
 
 @query(
     "compare_pair", " UNION ALL ".join(_pair_sql(m, m == "ttft_ms") for m in _PAIR_METRICS)
 )
 def _(t):
-    left = t.runs.where(F.col("run_id") % 2 == 0).select("run_id", *[F.col(m).alias(f"left_{m}") for m in _PAIR_METRICS])
+    left = t.runs.select("run_id", *[F.col(m).alias(f"left_{m}") for m in _PAIR_METRICS])
     right = t.runs.select((F.col("run_id") - 1).alias("run_id"), *[F.col(m).alias(f"right_{m}") for m in _PAIR_METRICS])
     return ops.compare_pairs(left.join(right, "run_id"), _PAIR_METRICS)
 

@@ -216,12 +216,12 @@ _SAMPLES = """SELECT item, sample, CASE WHEN item % 7 = 0 AND sample = 0 THEN 't
 @query(
     "join_grades",
     f"""SELECT g.item, g.sample, g.error, coalesce(v.passed, false) AND g.error IS NULL AS passed FROM ({_SAMPLES}) g
-        LEFT JOIN (SELECT * FROM samples WHERE (item + sample) % 3 <> 0) v ON v.item = g.item AND v.sample = g.sample""",
+        LEFT JOIN (SELECT * FROM samples WHERE graded) v ON v.item = g.item AND v.sample = g.sample""",
 )
 def _(t):
     failed = F.when((F.col("item") % 7 == 0) & (F.col("sample") == 0), "timeout")
     generations = t.samples.select("item", "sample", failed.alias("error"))
-    grades = t.samples.where((F.col("item") + F.col("sample")) % 3 != 0)
+    grades = t.samples.where("graded")
     return ops.join_grades(generations, grades, ["item", "sample"])
 
 
@@ -241,14 +241,14 @@ def _(t):
 @query(
     "score_code",
     f"""WITH g AS (SELECT g.item, g.sample, coalesce(v.passed, false) AND g.error IS NULL AS passed FROM ({_SAMPLES}) g
-          LEFT JOIN (SELECT * FROM samples WHERE (item + sample) % 3 <> 0) v ON v.item = g.item AND v.sample = g.sample)
+          LEFT JOIN (SELECT * FROM samples WHERE graded) v ON v.item = g.item AND v.sample = g.sample)
         SELECT item, n, c, {r4('pass_at_k')} AS pass_at_k, {r4('pass_at_1')} AS pass_at_1
         FROM ({_PASS.format(s='g')})""",
 )
 def _(t):
     failed = F.when((F.col("item") % 7 == 0) & (F.col("sample") == 0), "timeout")
     generations = t.samples.select("item", "sample", failed.alias("error"))
-    grades = t.samples.where((F.col("item") + F.col("sample")) % 3 != 0)
+    grades = t.samples.where("graded")
     graded = ops.join_grades(generations, grades, ["item", "sample"])
     rows = ops.pass_at_k_items(graded, 2)
     return rows.select("item", "n", "c", *[round4(F.col(c)).alias(c) for c in ("pass_at_k", "pass_at_1")])
