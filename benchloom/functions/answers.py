@@ -109,6 +109,25 @@ def choice_letter(value: Column, choices: Column | None = None) -> Column:
     return letter.otherwise(F.coalesce(F.upper(word), plain))
 
 
+def choice_reading(value: Column) -> Column:
+    """What choosing a letter needs of a text, without the text: the letter it states, the hash of its
+    plain form, and its first one-letter word."""
+    plain = normal_text(value)
+    number = plain.try_cast("int")
+    stated = F.when(plain.rlike("^[a-z]$"), F.upper(plain)).when(
+        plain.rlike(r"^\d+$"), F.char(F.lit(64) + F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)))
+    )
+    word = F.try_element_at(F.regexp_extract_all(plain, F.lit(r"(?<=^|\s)([a-z])(?=\s|$)"), F.lit(1)), F.lit(1))
+    return F.struct(stated.alias("stated"), F.sha2(plain, 256).alias("hash"), F.upper(word).alias("word"))
+
+
+def letter_of_reading(reading: Column, choice_hashes: Column) -> Column:
+    """Letter a reading names among choices given by hash; without any, the hash stands for the text."""
+    place = F.array_position(choice_hashes, reading["hash"])
+    named = F.when(F.coalesce(place, F.lit(0)) > 0, F.char(F.lit(64) + place))
+    return F.coalesce(reading["stated"], named, reading["word"], reading["hash"])
+
+
 def choice_list(text: Column, separator: str = "|") -> Column:
     """Choices from a JSON array or a separated text, blanks dropped."""
     as_json = F.from_json(strip(text), "array<string>")

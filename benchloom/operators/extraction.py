@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from benchloom.functions import naming
 from benchloom.functions.answers import (
-    choice_letter,
+    choice_reading,
     final_answer_step,
     last_number,
+    letter_of_reading,
     regex_answer,
     thinking_observed,
     thinking_requested,
 )
 from benchloom.functions.documents import flat_entries
 from benchloom.functions.numbers import first_positive, positive_number, round1, round4
-from benchloom.functions.text import first_found, first_match, last_match, lines, strip
+from benchloom.functions.text import first_found, first_match, last_match, lines, normal_text, strip
 
 # ---------------------------------------------------------------- answers
 
@@ -55,13 +56,23 @@ def answer_extraction(responses: DataFrame) -> DataFrame:
 
 
 def resolve_choices(responses: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Responses joined to their items, with the letters of the predicted and the gold choice."""
-    rows = responses.join(items.select(key, "choices", "gold"), key)
-    return rows.select(
-        *[c for c in responses.columns if c != "response"],
-        choice_letter(F.col("response"), F.col("choices")).alias("predicted"),
-        choice_letter(F.col("gold"), F.col("choices")).alias("gold_letter"),
+    """Letters of the predicted and the gold choice of each response; a text that names no choice is
+    shown by its hash.
+
+    Responses are read where they lie and only the reading is joined, so no text is shuffled.
+    """
+    read = responses.select(
+        *[c for c in responses.columns if c != "response"], choice_reading(F.col("response")).alias("_read")
+    )
+    known = items.select(
+        key,
+        F.transform("choices", lambda c: F.sha2(normal_text(c), 256)).alias("_choices"),
+        choice_reading(F.col("gold")).alias("_gold"),
     )
+    rows = read.join(known, key)
+    return rows.withColumn("predicted", letter_of_reading(F.col("_read"), F.col("_choices"))).withColumn(
+        "gold_letter", letter_of_reading(F.col("_gold"), F.col("_choices"))
+    ).drop("_read", "_choices", "_gold")
 
 
 def choice_resolution(responses: DataFrame, items: DataFrame, key: str) -> DataFrame:
