@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.functions.text import first_match, last_match, lines, normal_text, strip
@@ -38,27 +38,43 @@ def last_number(text: Column) -> Column:
     return F.coalesce(last_match(text, NUMBER), text)
 
 
-def final_answer_step(text: Column) -> Column:
-    """Which rule finds the final answer, as (rule, answer)."""
+def _final_answer_rules(text: Column) -> dict[str, Column]:
     parts = F.split(text, ANSWER_MARK)
-    marked = F.when(F.size(parts) > 1, first_match(F.element_at(parts, -1), NUMBER))
     summary = F.filter(lines(text), lambda line: line.rlike(SUMMARY_WORD))
     by_line = F.transform(summary, lambda line: F.coalesce(_last_bold(line), last_match(line, NUMBER), F.lit("")))
-    rules = [
-        ("marker", marked),
-        ("summary", _last(_non_empty(by_line))),
-        ("equation", last_match(text, EQUATION_RESULT, 1)),
-        ("bold", _last_bold(text)),
-        ("last_number", last_match(text, NUMBER)),
-        ("raw", text),
-    ]
-    return F.coalesce(
-        *[F.when(found.isNotNull(), F.struct(F.lit(rule).alias("rule"), found.alias("answer"))) for rule, found in rules]
-    )
+    return {
+        "marker": F.when(F.size(parts) > 1, first_match(F.element_at(parts, -1), NUMBER)),
+        "summary": _last(_non_empty(by_line)),
+        "equation": last_match(text, EQUATION_RESULT, 1),
+        "bold": _last_bold(text),
+        "last_number": last_match(text, NUMBER),
+    }
 
 
 def final_answer(text: Column) -> Column:
-    return final_answer_step(text)["answer"]
+    """Number after the last answer mark, else of the last summary line, the last equation, the last
+    bold part, the last number, else the text."""
+    return F.coalesce(*_final_answer_rules(text).values(), text)
+
+
+def with_final_answer(rows: DataFrame, text: str, answer: str, rule: str = "rule") -> DataFrame:
+    """Add the final answer of a text column and the rule that found it (``raw`` for the whole text).
+
+    Each rule is a column of its own, computed once and only while the rules before it found nothing.
+    """
+    found: list[str] = []
+    for name, value in _final_answer_rules(F.col(text)).items():
+        missing = F.lit(True)
+        for earlier in found:
+            missing = missing & F.col(earlier).isNull()
+        rows = rows.withColumn(f"_by_{name}", F.when(missing, value) if found else value)
+        found.append(f"_by_{name}")
+    which = F.when(F.col(found[0]).isNotNull(), found[0].removeprefix("_by_"))
+    for column in found[1:]:
+        which = which.when(F.col(column).isNotNull(), column.removeprefix("_by_"))
+    return (
+        rows.withColumn(rule, which.otherwise("raw")).withColumn(answer, F.coalesce(*found, F.col(text))).drop(*found)
+    )
 
 
 def regex_answer(text: Column, pattern: str | None) -> Column:
@@ -94,31 +110,38 @@ def answers_match(answer: Column, gold: Column) -> Column:
     return (normal_text(answer) == normal_text(gold)) | ((a != "") & (a == g)) | F.coalesce(close, F.lit(False))
 
 
-def choice_letter(value: Column, choices: Column | None = None) -> Column:
-    """Letter of the choice a text names: a letter, a one-based number, a choice text, or the
-    first one-letter word; else the plain text."""
-    plain = normal_text(value)
+def _stated_letter(plain: Column) -> Column:
+    """Letter a plain text is or numbers (one-based); null otherwise."""
     number = plain.try_cast("int")
-    letter = F.when(plain.rlike("^[a-z]$"), F.upper(plain)).when(
+    return F.when(plain.rlike("^[a-z]$"), F.upper(plain)).when(
         plain.rlike(r"^\d+$"), F.char(F.lit(64) + F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)))
     )
-    if choices is not None:
-        place = F.array_position(F.transform(choices, normal_text), plain)
-        letter = letter.when(F.coalesce(place, F.lit(0)) > 0, F.char(F.lit(64) + place))
-    word = F.try_element_at(F.filter(F.split(plain, r"\s+"), lambda w: w.rlike("^[a-z]$")), F.lit(1))
-    return letter.otherwise(F.coalesce(F.upper(word), plain))
 
 
-def choice_reading(value: Column) -> Column:
-    """What choosing a letter needs of a text, without the text: the letter it states, the hash of its
-    plain form, and its first one-letter word."""
-    plain = normal_text(value)
-    number = plain.try_cast("int")
-    stated = F.when(plain.rlike("^[a-z]$"), F.upper(plain)).when(
-        plain.rlike(r"^\d+$"), F.char(F.lit(64) + F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)))
+def _lone_letter(plain: Column) -> Column:
+    """First one-letter word of a plain text."""
+    return F.upper(F.nullif(F.regexp_extract(plain, r"(?<![^\s])([a-z])(?!\S)", 1), F.lit("")))
+
+
+def letter_of_plain(plain: Column, choices: Column) -> Column:
+    """``choice_letter`` of a text already in plain form."""
+    place = F.array_position(F.transform(choices, normal_text), plain)
+    named = F.when(F.coalesce(place, F.lit(0)) > 0, F.char(F.lit(64) + place))
+    return F.coalesce(_stated_letter(plain), named, _lone_letter(plain), plain)
+
+
+def choice_letter(value: Column, choices: Column) -> Column:
+    """Letter of the choice a text names: a letter, a one-based number, a choice text, or the
+    first one-letter word; else the plain text."""
+    return letter_of_plain(normal_text(value), choices)
+
+
+def choice_reading(plain: Column) -> Column:
+    """What choosing a letter needs of a plain text, without the text: the letter it states, its hash,
+    and its first one-letter word."""
+    return F.struct(
+        _stated_letter(plain).alias("stated"), F.sha2(plain, 256).alias("hash"), _lone_letter(plain).alias("word")
     )
-    word = F.try_element_at(F.regexp_extract_all(plain, F.lit(r"(?<=^|\s)([a-z])(?=\s|$)"), F.lit(1)), F.lit(1))
-    return F.struct(stated.alias("stated"), F.sha2(plain, 256).alias("hash"), F.upper(word).alias("word"))
 
 
 def letter_of_reading(reading: Column, choice_hashes: Column) -> Column:

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from benchloom.functions import naming
 from benchloom.functions.answers import (
     choice_reading,
-    final_answer_step,
     last_number,
     letter_of_reading,
     regex_answer,
     thinking_observed,
     thinking_requested,
+    with_final_answer,
 )
 from benchloom.functions.documents import flat_entries
 from benchloom.functions.numbers import first_positive, positive_number, round1, round4
@@ -30,12 +30,11 @@ from benchloom.functions.text import first_found, first_match, last_match, lines
 
 def extract_answers(responses: DataFrame, pattern: str | None = None) -> DataFrame:
     """Every response with the rule that found its final answer, and its other readings."""
-    step = final_answer_step(F.col("response"))
-    rows = responses.withColumn("_step", step)
+    rows = with_final_answer(responses, "response", "final_answer")
     return rows.select(
         *[c for c in responses.columns if c != "response"],
-        F.col("_step.rule").alias("rule"),
-        F.col("_step.answer").alias("final_answer"),
+        "rule",
+        "final_answer",
         last_number(F.col("response")).alias("last_number"),
         regex_answer(F.col("response"), pattern).alias("regex_answer"),
     )
@@ -61,13 +60,14 @@ def resolve_choices(responses: DataFrame, items: DataFrame, key: str) -> DataFra
 
     Responses are read where they lie and only the reading is joined, so no text is shuffled.
     """
-    read = responses.select(
-        *[c for c in responses.columns if c != "response"], choice_reading(F.col("response")).alias("_read")
+    plain = responses.withColumn("_plain", normal_text(F.col("response")))
+    read = plain.select(
+        *[c for c in responses.columns if c != "response"], choice_reading(F.col("_plain")).alias("_read")
     )
-    known = items.select(
+    known = items.withColumn("_plain", normal_text(F.col("gold"))).select(
         key,
         F.transform("choices", lambda c: F.sha2(normal_text(c), 256)).alias("_choices"),
-        choice_reading(F.col("gold")).alias("_gold"),
+        choice_reading(F.col("_plain")).alias("_gold"),
     )
     rows = read.join(known, key)
     return rows.withColumn("predicted", letter_of_reading(F.col("_read"), F.col("_choices"))).withColumn(

@@ -15,8 +15,10 @@ from benchloom.functions.answers import (
     default_template,
     extracted_answer,
     judge_score,
+    letter_of_plain,
     rendered_prompt,
     reward,
+    with_final_answer,
 )
 from benchloom.functions.numbers import round4
 from benchloom.functions.text import first_non_empty, normal_text, strip
@@ -26,17 +28,21 @@ from benchloom.functions.text import first_non_empty, normal_text, strip
 
 def score_exact(rows: DataFrame, mode: str = "final_answer", pattern: str | None = None) -> DataFrame:
     """Add ``predicted`` and ``pass``: the extracted answer against the gold answer."""
-    answer = extracted_answer(F.col("response"), mode, pattern)
-    rows = rows.withColumn("predicted", answer)
+    if mode == "final_answer":
+        rows = with_final_answer(rows, "response", "predicted", "_rule").drop("_rule")
+    else:
+        rows = rows.withColumn("predicted", extracted_answer(F.col("response"), mode, pattern))
     return rows.withColumn("pass", answers_match(F.col("predicted"), F.col("gold")))
 
 
 def score_choice(rows: DataFrame) -> DataFrame:
     """Add ``predicted``, ``gold_letter`` and ``pass``: letters must agree and not be empty."""
-    rows = rows.withColumn("predicted", choice_letter(F.col("response"), F.col("choices"))).withColumn(
+    rows = rows.withColumn("_plain", normal_text(F.col("response")))
+    rows = rows.withColumn("predicted", letter_of_plain(F.col("_plain"), F.col("choices"))).withColumn(
         "gold_letter", choice_letter(F.col("gold"), F.col("choices"))
     )
-    return rows.withColumn("pass", (F.col("predicted") != "") & (F.col("predicted") == F.col("gold_letter")))
+    same = (F.col("predicted") != "") & (F.col("predicted") == F.col("gold_letter"))
+    return rows.withColumn("pass", same).drop("_plain")
 
 
 def _shared_words(left: str, right: str) -> int:
@@ -141,10 +147,13 @@ def score_items(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn(
         "prompt", rendered_prompt(default_template(F.col("choices")), F.col("input"), F.col("choices"))
     )
-    answer = F.when(has_choices, choice_letter(F.col("response"), F.col("choices"))).otherwise(
-        extracted_answer(F.col("response"), "final_answer")
-    )
-    rows = rows.withColumn("predicted", F.when(error.isNull(), answer)).withColumn(
+    # Texts of rows that need neither reading are passed on as null, so each text is read one way only.
+    usable = F.col("error").isNull()
+    rows = rows.withColumn("_free", F.when(usable & ~has_choices, F.col("response")))
+    rows = with_final_answer(rows, "_free", "_answer", "_rule")
+    rows = rows.withColumn("_plain", F.when(usable & has_choices, normal_text(F.col("response"))))
+    answer = F.when(has_choices, letter_of_plain(F.col("_plain"), F.col("choices"))).otherwise(F.col("_answer"))
+    rows = rows.withColumn("predicted", F.when(usable, answer)).withColumn(
         "gold_shown",
         F.when(error.isNull(), F.when(has_choices, choice_letter(F.col("_gold"), F.col("choices"))).otherwise(F.col("_gold"))),
     )
@@ -155,7 +164,7 @@ def score_items(rows: DataFrame) -> DataFrame:
         rows.withColumn("scored", F.col("error").isNull())
         .withColumn("pass", F.coalesce(same, F.lit(False)))
         .withColumn("prompt_hash", F.sha2("prompt", 256))
-        .drop("_gold", "prompt")
+        .drop("_gold", "prompt", "_free", "_answer", "_rule", "_plain")
     )
 
 

@@ -60,14 +60,16 @@ def normalize_messages(
         F.when(m["role"] == "toolResult", F.coalesce(m["toolCallId"], F.lit(""))).alias("tool_call_id"),
         F.when(m["role"] == "toolResult", F.coalesce(m["toolName"], F.lit(""))).alias("name"),
     )
-    rows = truncate_bytes(rows.where(F.col("_role").isin("user", "assistant", "toolResult")), "content", limit, mark)
-    blank = strip(F.col("content")) == ""
+    # Decided on the whole text, before the cut, so that the filter stays small when it moves down: a cut
+    # text ends in the mark and is never blank.
+    blank = (strip(F.col("content")) == "") & ~was_cut(F.col("content"), limit)
     kept = (
         F.when(F.col("_role") == "user", ~blank)
         .when(F.col("_role") == "assistant", ~blank | (F.size("tool_calls") > 0))
-        .otherwise(True)
+        .otherwise(F.col("_role") == "toolResult")
     )
-    return rows.where(kept).select(
+    rows = truncate_bytes(rows.where(kept), "content", limit, mark)
+    return rows.select(
         *keys,
         F.when(F.col("_role") == "toolResult", "tool").otherwise(F.col("_role")).alias("role"),
         F.when((F.col("_role") == "toolResult") & (F.col("content") == ""), "(no output)")

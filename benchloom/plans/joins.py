@@ -110,13 +110,13 @@ def _(t):
 @query(
     "mark_loaded",
     """SELECT p_partkey, path, instance, coalesce(n, 0) AS loaded FROM (SELECT p_partkey, concat('/m/', p_partkey) AS path FROM part)
-       LEFT JOIN (SELECT concat('/m/', l_partkey) AS path, concat('emx-', l_suppkey) AS instance, count(*) OVER (PARTITION BY l_partkey)
+       LEFT JOIN (SELECT concat('/m/', l_partkey) AS path, concat('inst-', l_suppkey) AS instance, count(*) OVER (PARTITION BY l_partkey)
        AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45)) USING (path)""",
 )
 def _(t):
     path = lambda c: F.concat(F.lit("/m/"), F.col(c).cast("string")).alias("path")
     instances = t.lineitem.where(F.col("l_quantity") > 45).select(
-        path("l_partkey"), F.concat(F.lit("emx-"), F.col("l_suppkey").cast("string")).alias("instance")
+        path("l_partkey"), F.concat(F.lit("inst-"), F.col("l_suppkey").cast("string")).alias("instance")
     )
     return ops.mark_loaded(t.part.select("p_partkey", path("p_partkey")), instances)
 
