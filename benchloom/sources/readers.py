@@ -148,11 +148,15 @@ def resolve_item_source(
 # ---------------------------------------------------------------- reports, traces, results, listings
 
 
+# Fixed value: schema name of a report wrapped with its inventory.
+WRAPPED_SCHEMA = "lil-bench-result/"
+
+
 def scan_matrix(spark: SparkSession, path: str, glob: str = "*.{json,json.gz}") -> DataFrame:
     """Matrix reports as (path, document, hardware); packed files are read as they are, and a wrapped
     report gives its inner one and its inventory."""
     rows = whole_files(spark, path, glob)
-    wrapped = F.startswith(F.coalesce(F.get_json_object("text", "$.schema"), F.lit("")), F.lit("lil-bench-result/"))
+    wrapped = F.startswith(F.coalesce(F.get_json_object("text", "$.schema"), F.lit("")), F.lit(WRAPPED_SCHEMA))
     return rows.select(
         "path",
         F.when(wrapped, F.get_json_object("text", "$.results.bench")).otherwise(F.col("text")).alias("document"),

@@ -19,7 +19,7 @@ def spark():
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "3",
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.driver.memory": "8g",
         },

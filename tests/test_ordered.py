@@ -17,6 +17,14 @@ from benchloom.operators.quality import shard_assign
 from benchloom.operators.runs import rank_groups
 
 
+@pytest.fixture(scope="module", autouse=True)
+def eight_slices(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """20,000 rows, two thirds of them under one key."""
