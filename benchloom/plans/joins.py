@@ -160,7 +160,8 @@ def _(t):
 
 @query(
     "allowlist_check",
-    """SELECT p_partkey, p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_retailprice > 999.5)""",
+    """SELECT p_partkey, p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_retailprice > 999.5)
+       AND EXISTS (SELECT 1 FROM part WHERE p_retailprice > 999.5)""",
 )
 def _(t):
     rows = t.part.select("p_partkey", F.col("p_brand").alias("name"))
