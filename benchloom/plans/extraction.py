@@ -62,10 +62,10 @@ def _(t):
 
 @query(
     "answer_extraction",
-    f"""SELECT model, task, count(*) AS responses, count_if(rule = 'marker') AS marker, count_if(rule = 'summary') AS
-        summary, count_if(rule = 'equation') AS equation, count_if(rule = 'bold') AS bold,
-        count_if(rule = 'last_number') AS last_number, count_if(rule = 'raw') AS fallbacks,
-        {r4("(count_if(rule = 'raw') / count(*))")} AS fallback_rate FROM ({RULED}) GROUP BY model, task""",
+    f"""SELECT model, task, count(*) AS responses, count(CASE WHEN rule = 'marker' THEN 1 END) AS marker, count(CASE WHEN rule = 'summary' THEN 1 END) AS
+        summary, count(CASE WHEN rule = 'equation' THEN 1 END) AS equation, count(CASE WHEN rule = 'bold' THEN 1 END) AS bold,
+        count(CASE WHEN rule = 'last_number' THEN 1 END) AS last_number, count(CASE WHEN rule = 'raw' THEN 1 END) AS fallbacks,
+        {r4("(count(CASE WHEN rule = 'raw' THEN 1 END) / count(*))")} AS fallback_rate FROM ({RULED}) GROUP BY model, task""",
 )
 def _(t):
     return ops.answer_extraction(t.responses)
@@ -159,7 +159,7 @@ def _clean_sql(x: str) -> str:
         r", '(?is)(?:CRUX_ANSWER|final\s+answer|answer)\s*[:=]\s*')[-1]")} AS body FROM responses),
       l AS (SELECT task, coalesce(list_filter(list_transform(string_split(body, chr(10)), lambda x: {_clean_sql('x')}),
         lambda x: x <> '')[1], '') AS candidate FROM p)
-      SELECT task, count(*) AS responses, count_if(candidate = '') AS empty,
+      SELECT task, count(*) AS responses, count(CASE WHEN candidate = '' THEN 1 END) AS empty,
         cast(sum(length(candidate)) AS bigint) AS characters FROM l GROUP BY task""",
 )
 def _(t):
@@ -200,9 +200,9 @@ _LAYERS = f"""SELECT event_id AS run_id, 0 AS layer, CASE event_id % 4
     "log_metrics",
     f"""SELECT event_id AS run_id, CASE event_id % 4 WHEN 0 THEN coalesce(nullif(v, 0), 7.25) WHEN 2 THEN coalesce(nullif(v, 0), 7.25) ELSE 7.25 END
           AS tok_s_out,
-        CASE WHEN event_id % 4 = 1 THEN nullif(v, 0) END AS tok_s_prefill, 99.0 AS tok_s_total,
+        CASE WHEN event_id % 4 = 1 THEN nullif(v, 0) END AS tok_s_prefill, 99.0::double AS tok_s_total,
         CASE WHEN event_id % 4 = 0 THEN nullif(v, 0) END AS ttft_ms,
-        CASE WHEN event_id % 4 = 1 THEN 21.5 END AS peak_vram_gb, cast(user_id + 1 AS double) AS prompt_tokens
+        CASE WHEN event_id % 4 = 1 THEN 21.5::double END AS peak_vram_gb, cast(user_id + 1 AS double) AS prompt_tokens
         FROM (SELECT *, cast(cast(value AS decimal(10,2)) AS double) AS v FROM events)""",
 )
 def _(t):
@@ -235,7 +235,7 @@ def _(t):
         CASE WHEN even THEN 45.5 ELSE {r1('(64 * 2 / (nullif(lat, 0) / 1000))')} END AS tok_s_out,
         CASE WHEN NOT even THEN {r1('((user_id + 64) * 2 / (nullif(lat, 0) / 1000))')} END AS tok_s_total,
         CASE WHEN even THEN CASE WHEN v > 0 THEN 512.0 END ELSE nullif(cast(user_id AS double), 0) END AS prompt_tokens,
-        CASE WHEN even THEN 128.0 ELSE 64.0 END AS output_tokens,
+        CASE WHEN even THEN 128.0::double ELSE 64.0 END AS output_tokens,
         CASE WHEN even AND v > 0 THEN nullif(cast(event_id % 7 AS double), 0) END AS prefill_tokens,
         CASE WHEN NOT even THEN nullif(cast(user_id AS double), 0) END AS context_tokens,
         CASE WHEN NOT even THEN nullif(lat, 0) END AS latency_ms
@@ -314,7 +314,7 @@ def _(t):
     "prometheus_rollup",
     """SELECT o_orderkey AS scrape, sum(cast(o_custkey AS double)) + 0.5 * count(*) AS draft_tokens,
          sum(cast(o_custkey AS double)) AS accepted_tokens, cast(NULL AS double) AS draft_acceptance_rate,
-         CASE WHEN o_orderkey % 2 = 0 THEN 2.5 END AS accept_length, cast(NULL AS double) AS accept_rate
+         CASE WHEN o_orderkey % 2 = 0 THEN 2.5::double END AS accept_length, cast(NULL AS double) AS accept_rate
        FROM orders GROUP BY o_orderkey""",
 )
 def _(t):

@@ -37,7 +37,7 @@ def _(t):
 
 @query(
     "param_count",
-    """SELECT l_orderkey, count(*) AS shards, CASE WHEN count_if(l_linenumber = 7) = 0 THEN sum(l_partkey * l_suppkey + l_linenumber)
+    """SELECT l_orderkey, count(*) AS shards, CASE WHEN count(CASE WHEN l_linenumber = 7 THEN 1 END) = 0 THEN sum(l_partkey * l_suppkey + l_linenumber)
        END::bigint AS parameters FROM lineitem GROUP BY l_orderkey""",
 )
 def _(t):

@@ -38,7 +38,7 @@ def _(t):
 
 @query(
     "coverage_catalog",
-    f"""WITH c AS (SELECT task, count(DISTINCT shard) AS covered, {r4('(count_if(pass) / count(*))')} AS score FROM results
+    f"""WITH c AS (SELECT task, count(DISTINCT shard) AS covered, {r4('(count(CASE WHEN pass THEN 1 END) / count(*))')} AS score FROM results
           WHERE task <> 'de' GROUP BY task),
         m AS (SELECT d.task, cast(s AS int) AS shard FROM (SELECT DISTINCT lang AS task, {_SHARDS} AS n FROM documents) d,
           range(1, 31) r(s) WHERE s <= n AND NOT EXISTS
@@ -151,7 +151,7 @@ def _(t):
 
 @query(
     "offer_summary",
-    f"""SELECT listing, count_if(served) AS served, count_if(NOT served) AS changed FROM (SELECT listing, model, bool_and(served) AS
+    f"""SELECT listing, count(CASE WHEN served THEN 1 END) AS served, count(CASE WHEN NOT served THEN 1 END) AS changed FROM (SELECT listing, model, bool_and(served) AS
         served FROM ({_SERVED}) GROUP BY ALL) GROUP BY listing""",
 )
 def _(t):

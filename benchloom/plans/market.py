@@ -107,7 +107,7 @@ def _(t):
     "listing_rollup",
     f"""{_SETTLED} SELECT listing, model, count(*) AS requests, sum(bp)::bigint AS input_tokens, sum(bo)::bigint AS output_tokens,
         {r4('(sum(cost_m)::double / 1000000 * 0.9)')} AS earned_usd,
-        count_if(sold_at >= TIMESTAMP '{NOW}' - INTERVAL 720 HOURS) AS requests_30_days,
+        count(CASE WHEN sold_at >= TIMESTAMP '{NOW}' - INTERVAL 720 HOURS THEN 1 END) AS requests_30_days,
         {r4(f"(coalesce(sum(cost_m) FILTER (WHERE sold_at >= TIMESTAMP '{NOW}' - INTERVAL 720 HOURS), 0)::double / 1000000 * 0.9)")}
           AS earned_30_days, strftime(max(sold_at), '%Y-%m-%d') AS last_sold
         FROM s GROUP BY GROUPING SETS ((listing), (listing, model))""",
@@ -142,7 +142,7 @@ def _(t):
     """WITH l AS (SELECT o_custkey AS listing, o_orderpriority AS model, arg_max(o_orderstatus, struct_pack(a := o_orderdate, b :=
          o_orderkey)) AS st FROM orders GROUP BY ALL),
        g AS (SELECT listing, string_agg(CASE WHEN st = 'F' THEN model END, ', ' ORDER BY model) AS f, string_agg(CASE WHEN st = 'P' THEN
-         model END, ', ' ORDER BY model) AS w, count_if(st = 'O' AND listing % 4 > 0) AS ok FROM l GROUP BY listing)
+         model END, ', ' ORDER BY model) AS w, count(CASE WHEN st = 'O' AND listing % 4 > 0 THEN 1 END) AS ok FROM l GROUP BY listing)
        SELECT listing, CASE WHEN c <> '' THEN CASE WHEN length(c) <= 50 THEN c ELSE left(c, 49) || '…' END WHEN ok > 0 THEN 'ok' ELSE
          '-' END AS "check" FROM (SELECT *, concat_ws('; ', 'failed: ' || f, 'warning: ' || w) AS c FROM g)""",
 )

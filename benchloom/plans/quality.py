@@ -91,8 +91,8 @@ def _(t):
 
 @query(
     "audit_summary",
-    f"""WITH it AS ({_ITEMS}), x AS ({_ISSUES}) SELECT (SELECT count(*) FROM it) AS item_count, count_if(severity = 'error') AS
-        error_count, count_if(severity <> 'error') AS warning_count, count_if(severity = 'error') = 0 AS valid, false AS
+    f"""WITH it AS ({_ITEMS}), x AS ({_ISSUES}) SELECT (SELECT count(*) FROM it) AS item_count, count(CASE WHEN severity = 'error' THEN 1 END) AS
+        error_count, count(CASE WHEN severity <> 'error' THEN 1 END) AS warning_count, count(CASE WHEN severity = 'error' THEN 1 END) = 0 AS valid, false AS
         publishable FROM x""",
 )
 def _(t):

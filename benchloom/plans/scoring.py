@@ -102,7 +102,7 @@ def _(t):
     "score_judge",
     f"""WITH s AS (SELECT user_id, CASE event_id % 4 WHEN 0 THEN (event_id % 11) / 10.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5
           END AS score FROM events)
-        SELECT user_id, count(*) AS replies, count_if(score IS NULL) AS failures,
+        SELECT user_id, count(*) AS replies, count(CASE WHEN score IS NULL THEN 1 END) AS failures,
           {r4('(sum(coalesce(score, 0)) / count(*))')} AS score FROM s GROUP BY user_id""",
 )
 def _(t):
@@ -215,7 +215,7 @@ _SAMPLES = """SELECT item, sample, CASE WHEN item % 7 = 0 AND sample = 0 THEN 't
 
 @query(
     "join_grades",
-    f"""SELECT g.item, g.sample, g.error, coalesce(v.passed, false) AND g.error IS NULL AS passed FROM ({_SAMPLES}) g
+    f"""SELECT g.item, g.sample::int AS sample, g.error, coalesce(v.passed, false) AND g.error IS NULL AS passed FROM ({_SAMPLES}) g
         LEFT JOIN (SELECT * FROM samples WHERE graded) v ON v.item = g.item AND v.sample = g.sample""",
 )
 def _(t):
@@ -226,7 +226,7 @@ def _(t):
 
 
 _PASS = """SELECT item, n, c, CASE WHEN n - c < least(2, n) THEN 1.0 WHEN n = 1 THEN 0.0 ELSE 1 - (n - c) * (n - c - 1) / (n * (n - 1.0)) END AS
-  pass_at_k, c / n AS pass_at_1 FROM (SELECT item, count(*) AS n, count_if(passed) AS c FROM {s} GROUP BY item)"""
+  pass_at_k, c / n AS pass_at_1 FROM (SELECT item, count(*) AS n, count(CASE WHEN passed THEN 1 END) AS c FROM {s} GROUP BY item)"""
 
 
 @query(
@@ -257,7 +257,7 @@ def _(t):
 @query(
     "score_candidate_exec",
     """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'input_prediction' ELSE 'output_prediction' END AS task_type,
-         count(*) AS items, count_if(l_returnflag = 'R' AND l_orderkey % 5 <> 0) AS passed FROM lineitem GROUP BY 1""",
+         count(*) AS items, count(CASE WHEN l_returnflag = 'R' AND l_orderkey % 5 <> 0 THEN 1 END) AS passed FROM lineitem GROUP BY 1""",
 )
 def _(t):
     from benchloom.operators.joins import candidate_task_type
@@ -281,8 +281,8 @@ def _(t):
 
 @query(
     "generation_guard",
-    f"""SELECT count(*) AS items, count_if(error IS NOT NULL) AS failures,
-        count(*) > 0 AND count_if(error IS NOT NULL) > count(*) // 2 AS abort FROM ({_SAMPLES}) WHERE sample = 0""",
+    f"""SELECT count(*) AS items, count(CASE WHEN error IS NOT NULL THEN 1 END) AS failures,
+        count(*) > 0 AND count(CASE WHEN error IS NOT NULL THEN 1 END) > count(*) // 2 AS abort FROM ({_SAMPLES}) WHERE sample = 0""",
 )
 def _(t):
     failed = F.when((F.col("item") % 7 == 0) & (F.col("sample") == 0), "timeout")
@@ -291,9 +291,9 @@ def _(t):
 
 @query(
     "shard_stats",
-    f"""SELECT task, shard, count_if(scored AND pass) AS correct, count_if(scored) AS scored, count_if(NOT scored) AS errors,
+    f"""SELECT task, shard, count(CASE WHEN scored AND pass THEN 1 END) AS correct, count(CASE WHEN scored THEN 1 END) AS scored, count(CASE WHEN NOT scored THEN 1 END) AS errors,
         cast(sum(latency_ms) AS bigint) AS total_latency_ms,
-        CASE WHEN count_if(scored) > 0 THEN {r4('(count_if(scored AND pass) / count_if(scored))')} ELSE 0 END AS accuracy,
+        CASE WHEN count(CASE WHEN scored THEN 1 END) > 0 THEN {r4('(count(CASE WHEN scored AND pass THEN 1 END) / count(CASE WHEN scored THEN 1 END))')} ELSE 0 END AS accuracy,
         cast(sum(latency_ms) // count(*) AS bigint) AS avg_latency_ms FROM results GROUP BY task, shard""",
 )
 def _(t):
@@ -305,7 +305,7 @@ _SCORES = "SELECT task, model, CASE WHEN scored THEN pass::int::double END AS sc
 
 @query(
     "task_score",
-    f"""SELECT task, count(*) AS samples, count_if(score IS NULL) AS failures,
+    f"""SELECT task, count(*) AS samples, count(CASE WHEN score IS NULL THEN 1 END) AS failures,
         {r4('(sum(coalesce(score, 0)) / count(*))')} AS score FROM ({_SCORES}) GROUP BY task""",
 )
 def _(t):
@@ -340,8 +340,8 @@ def _(t):
     "pooled_score",
     f"""WITH l AS (SELECT task, question_id // 2 AS q, arg_max(pass, question_id) AS pass, arg_max(scored, question_id) AS
           scored, arg_max(shard, question_id) AS shard FROM results GROUP BY ALL),
-        a AS (SELECT task, count(*) AS questions, count(DISTINCT shard) AS shards_covered, count_if(scored)::double AS n,
-          count_if(scored AND pass) / count_if(scored)::double AS p FROM l GROUP BY task)
+        a AS (SELECT task, count(*) AS questions, count(DISTINCT shard) AS shards_covered, count(CASE WHEN scored THEN 1 END)::double AS n,
+          count(CASE WHEN scored AND pass THEN 1 END) / count(CASE WHEN scored THEN 1 END)::double AS p FROM l GROUP BY task)
         SELECT task, questions, shards_covered, {r4('p')} AS pooled_score,
           {r4('((p + 3.8414588206941236 / (2 * n)) / (1 + 3.8414588206941236 / n) - 1.959963984540054 * sqrt(p * (1 - p) / n + 3.8414588206941236 / (4 * n * n)) / (1 + 3.8414588206941236 / n))')} AS ci_lower,
           {r4('((p + 3.8414588206941236 / (2 * n)) / (1 + 3.8414588206941236 / n) + 1.959963984540054 * sqrt(p * (1 - p) / n + 3.8414588206941236 / (4 * n * n)) / (1 + 3.8414588206941236 / n))')} AS ci_upper FROM a""",
@@ -401,12 +401,12 @@ def _(t):
 
 @query(
     "agent_task_results",
-    f"""WITH k AS (SELECT conv_id, conv_id % 3 <> 0 AS pass, conv_id % 7 <> 0 AS scored, count_if(role = 'assistant') AS
+    f"""WITH k AS (SELECT conv_id, conv_id % 3 <> 0 AS pass, conv_id % 7 <> 0 AS scored, count(CASE WHEN role = 'assistant' THEN 1 END) AS
           turns, sum(length(text)) AS wall, sum(CASE WHEN role = 'user' THEN strlen(text) ELSE 0 END) AS i,
           sum(CASE WHEN role = 'assistant' THEN strlen(text) ELSE 0 END) AS o FROM conversations GROUP BY conv_id)
-        SELECT conv_id % 5 AS shard, count(*) AS tasks, count_if(scored) AS scored, count_if(scored AND pass) AS passed,
+        SELECT conv_id % 5 AS shard, count(*) AS tasks, count(CASE WHEN scored THEN 1 END) AS scored, count(CASE WHEN scored AND pass THEN 1 END) AS passed,
           cast(sum(turns) AS bigint) AS turns, cast(sum(i) AS bigint) AS input_tokens, cast(sum(o) AS bigint) AS output_tokens,
-          {r4('(count_if(scored AND pass) / count_if(scored))')} AS accuracy, cast(sum(wall) // count(*) AS bigint) AS avg_wall_ms
+          {r4('(count(CASE WHEN scored AND pass THEN 1 END) / count(CASE WHEN scored THEN 1 END))')} AS accuracy, cast(sum(wall) // count(*) AS bigint) AS avg_wall_ms
         FROM k GROUP BY 1""",
 )
 def _(t):

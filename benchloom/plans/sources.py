@@ -135,7 +135,7 @@ def _(t):
 @query(
     "scan_traces",
     """WITH e AS (SELECT conv_id * 31 + turn AS k, length(text) AS n FROM conversations)
-       SELECT count_if(k % 13 > 1) AS ok, count_if(k % 13 = 0) AS malformed, count_if(k % 13 = 1) AS blank, 0::bigint AS oversized FROM e""",
+       SELECT count(CASE WHEN k % 13 > 1 THEN 1 END) AS ok, count(CASE WHEN k % 13 = 0 THEN 1 END) AS malformed, count(CASE WHEN k % 13 = 1 THEN 1 END) AS blank, 0::bigint AS oversized FROM e""",
 )
 def _(t):
     path = new_path(t.spark, "traces")
@@ -147,7 +147,7 @@ def _(t):
 
 @query(
     "scan_harness_results",
-    """SELECT n_nationkey AS nation, CASE WHEN n_regionkey = 0 THEN 'missing' WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'ambiguous' END AS
+    """SELECT n_nationkey::bigint AS nation, CASE WHEN n_regionkey = 0 THEN 'missing' WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'ambiguous' END AS
        status, CASE WHEN n_regionkey > 0 AND n_nationkey % 2 = 0 THEN n_nationkey / 100.0 END::double AS acc FROM nation""",
 )
 def _(t):

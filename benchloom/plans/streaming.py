@@ -14,9 +14,9 @@ def event_stream(t):
 
 @query(
     "stream_run_state",
-    """WITH s AS (SELECT user_id AS run, count_if(event_type IN ('click', 'error') AND event_id % 3 > 0) AS scored,
-         count_if(event_type IN ('click', 'error') AND event_id % 3 > 0 AND event_type = 'click') AS passed,
-         count_if(event_type IN ('click', 'error') AND event_id % 3 = 0) AS unscored, max(epoch_us(ts)) AS last_activity,
+    """WITH s AS (SELECT user_id AS run, count(CASE WHEN event_type IN ('click', 'error') AND event_id % 3 > 0 THEN 1 END) AS scored,
+         count(CASE WHEN event_type IN ('click', 'error') AND event_id % 3 > 0 AND event_type = 'click' THEN 1 END) AS passed,
+         count(CASE WHEN event_type IN ('click', 'error') AND event_id % 3 = 0 THEN 1 END) AS unscored, max(epoch_us(ts)) AS last_activity,
          max(CASE WHEN event_type = 'purchase' AND event_id % 50 = 0 THEN ts END) AS done, max(CASE WHEN event_type = 'signup' THEN ts END)
          AS start, max(CASE WHEN event_type = 'view' THEN ts END) AS lost FROM events GROUP BY user_id)
        SELECT run, scored, passed, unscored, last_activity, CASE WHEN done IS NOT NULL THEN 'completed' WHEN lost >= coalesce(start,

@@ -92,7 +92,7 @@ _CLASSIFIED = f"""SELECT r.id, r.passed, r.scored, coalesce(m.cut, 0) AS cut, CA
     id % 11 = 0 THEN 'passing_trace_missing' WHEN m.id IS NULL THEN 'passing_trace_invalid' WHEN u = 0 OR a = 0 THEN
     'passing_conversation_incomplete' END AS reason, passed AND scored AS good FROM
   (SELECT DISTINCT conv_id AS id, conv_id % 3 <> 0 AS passed, conv_id % 7 <> 0 AS scored FROM conversations) r LEFT JOIN
-  (SELECT id, count_if(role = 'user') AS u, count_if(role = 'assistant') AS a, count_if(content_cut) AS cut FROM ({_MESSAGES})
+  (SELECT id, count(CASE WHEN role = 'user' THEN 1 END) AS u, count(CASE WHEN role = 'assistant' THEN 1 END) AS a, count(CASE WHEN content_cut THEN 1 END) AS cut FROM ({_MESSAGES})
    GROUP BY id) m USING (id)"""
 
 
@@ -120,11 +120,11 @@ def _(t):
 
 @query(
     "export_manifest",
-    f"""SELECT count(*) AS total, count_if(scored) AS scored, count_if(passed) AS passed, count_if(NOT passed) AS failed,
-        count_if(good AND reason IS NULL) AS sft_examples, count_if(NOT good) AS failure_examples,
+    f"""SELECT count(*) AS total, count(CASE WHEN scored THEN 1 END) AS scored, count(CASE WHEN passed THEN 1 END) AS passed, count(CASE WHEN NOT passed THEN 1 END) AS failed,
+        count(CASE WHEN good AND reason IS NULL THEN 1 END) AS sft_examples, count(CASE WHEN NOT good THEN 1 END) AS failure_examples,
         cast(sum(CASE WHEN good THEN cut ELSE 1 END) AS bigint) AS truncated_fields,
-        count_if(reason = 'passing_trace_missing') AS trace_missing, count_if(reason = 'passing_trace_invalid') AS trace_invalid,
-        count_if(reason = 'passing_conversation_incomplete') AS incomplete FROM ({_CLASSIFIED})""",
+        count(CASE WHEN reason = 'passing_trace_missing' THEN 1 END) AS trace_missing, count(CASE WHEN reason = 'passing_trace_invalid' THEN 1 END) AS trace_invalid,
+        count(CASE WHEN reason = 'passing_conversation_incomplete' THEN 1 END) AS incomplete FROM ({_CLASSIFIED})""",
 )
 def _(t):
     row = ops.export_manifest(records(t), messages(t), limit=1024)
@@ -249,8 +249,8 @@ def _numbered(t):
 
 @query(
     "sft_validate",
-    """SELECT conv_id AS id, count_if(role = 'user') AS users, count_if(role = 'assistant') AS assistants FROM conversations
-       GROUP BY conv_id HAVING count_if(role = 'user') = 0 OR count_if(role = 'assistant') = 0""",
+    """SELECT conv_id AS id, count(CASE WHEN role = 'user' THEN 1 END) AS users, count(CASE WHEN role = 'assistant' THEN 1 END) AS assistants FROM conversations
+       GROUP BY conv_id HAVING count(CASE WHEN role = 'user' THEN 1 END) = 0 OR count(CASE WHEN role = 'assistant' THEN 1 END) = 0""",
 )
 def _(t):
     return ops.validate_conversations(t.conversations.withColumnRenamed("conv_id", "id"))
@@ -307,10 +307,10 @@ def trace_lines(t):
 @query(
     "trace_summary",
     """WITH e AS (SELECT *, conv_id * 31 + turn AS k FROM conversations), s AS (SELECT *, k % 13 > 1 AS ok FROM e)
-       SELECT conv_id, count_if(ok) AS events, count_if(ok AND k % 8 > 4 AND role = 'assistant' AND k % 6 > 0 AND text <> '') AS
-         assistant_messages, count_if(ok AND k % 8 = 0) AS tool_executions, count_if(ok AND k % 8 = 1) AS turns_started,
-         count_if(ok AND k % 8 = 2) AS updates, count_if(ok AND k % 8 IN (3, 4)) AS unknown_events,
-         count_if(k % 13 = 0) AS malformed_lines, cast(0 AS bigint) AS oversized_lines FROM s GROUP BY conv_id""",
+       SELECT conv_id, count(CASE WHEN ok THEN 1 END) AS events, count(CASE WHEN ok AND k % 8 > 4 AND role = 'assistant' AND k % 6 > 0 AND text <> '' THEN 1 END) AS
+         assistant_messages, count(CASE WHEN ok AND k % 8 = 0 THEN 1 END) AS tool_executions, count(CASE WHEN ok AND k % 8 = 1 THEN 1 END) AS turns_started,
+         count(CASE WHEN ok AND k % 8 = 2 THEN 1 END) AS updates, count(CASE WHEN ok AND k % 8 IN (3, 4) THEN 1 END) AS unknown_events,
+         count(CASE WHEN k % 13 = 0 THEN 1 END) AS malformed_lines, cast(0 AS bigint) AS oversized_lines FROM s GROUP BY conv_id""",
 )
 def _(t):
     return ops.trace_summary(trace_lines(t), "conv_id")
