@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from benchloom.plans.fixtures import FIXTURES, LARGE, TABLES, with_fixtures
-from benchloom.session import spread
+from benchloom.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._known: dict[str, DataFrame] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,23 @@ def build_session(app: str = "benchloom", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark application.
+
+    The driver serves the archive to the executors, so its place on the driver does not matter.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_benchloom_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="benchloom-ship-")) / "benchloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._benchloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, named by ``spark.checkpoint.dir``.
 
