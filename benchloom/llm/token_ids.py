@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Signs for which Python and the library agree about white space and lower case.
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-įı-ſ]")
 #: Words kept by a worker; with more, it starts anew.
-KEPT_WORDS = 500_000
-WIDE = np.dtype("<u4")
+KEPT_WORDS = 400_000
+#: Type code of 32-bit numbers; all machines that Spark runs on here are little-endian.
+WIDE = "I"
 
 
 def _byte_signs() -> dict[int, str]:
@@ -28,52 +28,52 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class KnownWords(dict):
+    """Ids of the words seen so far; a new word is learned when it is looked up."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.signs = _byte_signs()
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run of letters or of other signs."""
+        if not run.isascii():
+            run = "".join([self.signs[b] for b in run.encode()])
+        return array(WIDE, [t.id for t in self.tokenizer.model.tokenize(run)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        if word.isalpha():
+            ids = self._run(word)
+        else:
+            base = word.rstrip(".,")
+            if base.isalpha():
+                return self[base] + self[word[len(base) :]]
+            ids = array(WIDE, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+
 class TokenIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.signs = _byte_signs()
-        self.known: dict[str, bytes] = {}
+        self.known = KnownWords(self.tokenizer)
 
-    def _run(self, run: str) -> bytes:
-        """Ids of one run of letters or of other signs."""
-        if not run:
-            return b""
-        if not run.isascii():
-            run = "".join(self.signs[b] for b in run.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(run)], WIDE).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        base = word.rstrip(".,")
-        if base.isalpha():
-            ids = self.known.get(base)
-            if ids is None:
-                ids = self.known[base] = self._run(base)
-            return ids + self._run(word[len(base) :])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, WIDE).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         out = []
         for text in texts:
             if not text:
                 out.append(b"")
             elif UNUSUAL.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, WIDE).tobytes())
+                out.append(array(WIDE, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                words = text.lower().split()
-                known = self.known
-                try:
-                    out.append(b"".join([known[w] for w in words]))
-                except KeyError:
-                    if len(known) > KEPT_WORDS:
-                        known.clear()
-                    for w in set(words):
-                        if w not in known:
-                            known[w] = self._word(w)
-                    out.append(b"".join([known[w] for w in words]))
+                out.append(b"".join(map(self.known.__getitem__, text.lower().split())))
         return out
 
 
