@@ -29,9 +29,10 @@ FIELD = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """The line with single spaces and its tokens with digits as fields."""
-    single = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-    return F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)
+    """The line with single spaces and its tokens with digits as fields; patterns run only where they match."""
+    tidy = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
+    single = F.when(line.rlike(r"[\t\r\f]|  |^ | $"), tidy).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(single)
 
 
 def dropped_lines(
@@ -42,14 +43,13 @@ def dropped_lines(
     lines = (
         numbers.withColumn("masked", masked(F.col("line")))
         .where("masked <> ''")
-        .withColumn("tokens", F.split("masked", " "))
         .select(
             "doc_id",
             "mark",
             "place",
             "masked",
-            F.size("tokens").alias("n"),
-            F.array_join(F.slice("tokens", 1, depth), " ").alias("lead"),
+            (F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).alias("n"),
+            F.substring_index("masked", " ", depth).alias("lead"),
         )
     )
     leaf = ["n", "lead"]
