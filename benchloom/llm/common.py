@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str = "llm") -> DataFrame:
-    """``df`` written once to the shared folder and read back; a lost executor re-reads it."""
-    return materialize(df, name)
+    """``df`` written once to the shared folder and read back; a lost executor re-reads it.
+
+    The shuffle files behind it are not needed any more.  Spark deletes them once the driver has collected the
+    objects that stand for them, which is asked for here, since a driver with much memory may not do so for long.
+    """
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def scaled_parts(total: int, per_part: int, least: int = 1) -> int:

@@ -6,7 +6,8 @@ Sorting all suffixes of the corpus would move fifty times its size.  Only suffix
 window of ``length`` bytes picks the ``gram``-byte string in it with the least hash, so equal windows pick the
 same anchor wherever they stand.  The steps:
 
-1. Hashes of the anchors' grams are gathered; anchors whose gram stands in one document only are left out.
+1. Hashes of the anchors' grams are gathered; anchors whose gram stands in one document only are left out
+   (a hash that two grams share keeps them, which later steps put right).
 2. Documents meet their remaining anchors again.  An anchor's context is the part of the text its windows cover.
    Equal contexts of one block of documents are settled there, which keeps hot passages small.
 3. A suffix starts at the anchor and goes on, beyond its end, with the bytes before the anchor in reverse order.
@@ -38,7 +39,7 @@ from benchloom.llm.common import scaled_parts, stored, table
 #: Bytes of a gram (a multiple of 8).
 GRAM = 24
 #: Bytes of text in one block of documents, anchors in one bucket, suffixes in one bucket.
-BLOCK_BYTES, BUCKET_ANCHORS = 16 << 20, 2_000_000
+BLOCK_BYTES, BUCKET_ANCHORS = 6 << 20, 1_000_000
 #: Bytes hashed at once, and documents of the sample for splitters.
 CHUNK = 1 << 21
 SAMPLE_DOCS = 4_000
@@ -130,6 +131,41 @@ def _unpack(blobs, kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds)]
 
 
+#: Bits of a gram's hash that a bucket compares, besides those that chose the bucket.  A bucket holds a bounded
+#: number of anchors, so few meet by chance at any scale, and those that do are sorted out later.
+HASH_BYTES = 5
+
+
+def _pack_anchors(h: np.ndarray, marks: np.ndarray, number: np.ndarray, at: np.ndarray) -> bytes:
+    """Anchors in order of document and place: each document once, then differences."""
+    new = np.concatenate([[True], number[1:] != number[:-1]])
+    runs = np.diff(np.append(np.nonzero(new)[0], len(number)))
+    step = np.where(new, at, np.diff(at, prepend=0)).astype("<i4")
+    short = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+    planes = [*short.T, *step.view(np.uint8).reshape(-1, 4).T]
+    head = np.array([len(runs), len(number)], "<i8")
+    return zstandard.compress(
+        b"".join(np.ascontiguousarray(a).tobytes() for a in [head, marks[number[new]], runs.astype("<i4"), *planes]), 1
+    )
+
+
+def _unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, mark and place of every anchor."""
+    raw = zstandard.decompress(blob)
+    docs, n = np.frombuffer(raw, "<i8", 2).tolist()
+    marks = np.frombuffer(raw, "<i8", docs, 16)
+    runs = np.frombuffer(raw, "<i4", docs, 16 + 8 * docs)
+    planes = np.frombuffer(raw, np.uint8, (HASH_BYTES + 4) * n, 16 + 12 * docs).reshape(HASH_BYTES + 4, n)
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :HASH_BYTES] = planes[:HASH_BYTES].T
+    total = np.cumsum(np.ascontiguousarray(planes[HASH_BYTES:].T).view("<i4")[:, 0].astype(np.int64))
+    begin = np.cumsum(runs) - runs
+    # Steps start anew with each document: what had been added up before its first place is taken off.
+    first = np.ascontiguousarray(planes[HASH_BYTES:, begin].T).view("<i4")[:, 0]
+    at = total - np.repeat(total[begin] - first, runs)
+    return h.view("<u8")[:, 0], np.repeat(marks, runs), at.astype("<i4")
+
+
 def _texts(frame: pd.DataFrame) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
 
@@ -249,20 +285,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     # 1. Anchors whose gram stands in several documents.
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, ids, marks = _texts(frame), _ids(frame), frame["mark"].to_numpy(np.int64)
+            texts, marks = _texts(frame), frame["mark"].to_numpy(np.int64)
             for number, at, _, _, h in anchors(texts, length):
                 out = []
+                rest = h // np.uint64(buckets)
                 for bucket, own in _by((h % np.uint64(buckets)).astype(np.int64), buckets):
-                    # Ids are kept apart for each column, so that runs of one document pack well.
-                    out.append((bucket, _pack(h[own], ids[number[own]], marks[number[own]], at[own].astype("<i4"))))
+                    out.append((bucket, _pack_anchors(rest[own], marks, number[own], at[own])))
                 yield pd.DataFrame(out, columns=["bucket", "data"])
 
     def repeated(frame: pd.DataFrame) -> pd.DataFrame:
-        h, ids, marks, at = _unpack(frame["data"], ["<u8", "<i8", "<i8", "<i4"])
+        h, marks, at = (np.concatenate(c) for c in zip(*map(_unpack_anchors, frame["data"])))
         order = np.argsort(h, kind="stable")
-        h, sorted_ids = h[order], ids[order]
+        h, sorted_marks = h[order], marks[order]
         start = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-        several = np.minimum.reduceat(sorted_ids, start) < np.maximum.reduceat(sorted_ids, start)
+        several = np.minimum.reduceat(sorted_marks, start) < np.maximum.reduceat(sorted_marks, start)
         own = np.sort(order[np.repeat(several, np.diff(np.append(start, len(h))))])
         marks, at = marks[own], at[own]
         return pd.DataFrame(
