@@ -41,7 +41,7 @@ GRAM = 24
 #: Bytes of text in one block of documents, anchors in one bucket, suffixes in one bucket.
 BLOCK_BYTES, BUCKET_ANCHORS = 6 << 20, 1_000_000
 #: Bytes hashed at once, and documents of the sample for splitters.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SAMPLE_DOCS = 4_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -229,11 +229,11 @@ def contexts(texts: list[bytes], number: np.ndarray, at: np.ndarray, lo: np.ndar
     base = begin[number]
     offsets = np.concatenate([np.arange(length), -1 - np.arange(reach)])
     out = np.empty((len(at), length + reach), np.uint8)
-    for s in range(0, len(at), 1 << 16):
-        a, b = at[s : s + (1 << 16), None], base[s : s + (1 << 16), None]
+    for s in range(0, len(at), 1 << 13):
+        a, b = at[s : s + (1 << 13), None], base[s : s + (1 << 13), None]
         place = a + offsets[None, :]
-        inside = (place >= lo[s : s + (1 << 16), None]) & (place < hi[s : s + (1 << 16), None] + length)
-        out[s : s + (1 << 16)] = np.where(inside, data[np.where(inside, place + b, 0)], 0)
+        inside = (place >= lo[s : s + (1 << 13), None]) & (place < hi[s : s + (1 << 13), None] + length)
+        out[s : s + (1 << 13)] = np.where(inside, data[np.where(inside, place + b, 0)], 0)
     return out
 
 
