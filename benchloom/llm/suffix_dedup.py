@@ -443,7 +443,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
                 block = int(_block_of(marks[i : i + 1], blocks)[0])
                 spot = np.array([at[i] - shift], np.int64)
                 out.append(("window", block, _pack(marks[i : i + 1], spot, spot + length), window, int(ids[i])))
-        return pd.DataFrame(out, columns=["kind", "place", "data", "window", "id"]).astype({"id": "Int64"})
+        kind, place, packed_spans, window, owner = zip(*out) if out else ((),) * 5
+        return pd.DataFrame(
+            {"kind": kind, "place": place, "data": packed_spans, "window": window, "id": pd.array(owner, "Int64")}
+        )
 
     sorted_out = stored(
         ready.where("kind = 'suffix'")
