@@ -111,10 +111,10 @@ def answers_match(answer: Column, gold: Column) -> Column:
 
 
 def _stated_letter(plain: Column) -> Column:
-    """Letter a plain text is or numbers (one-based); null otherwise."""
+    """Letter a plain text is or numbers (one-based); a number beyond the letters stays; null otherwise."""
     number = plain.try_cast("int")
     return F.when(plain.rlike("^[a-z]$"), F.upper(plain)).when(
-        plain.rlike(r"^\d+$"), F.char(F.lit(64) + F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)))
+        plain.rlike(r"^\d+$"), F.when(number <= 26, F.char(F.lit(64) + F.greatest(number, F.lit(1)))).otherwise(plain)
     )
 
 
@@ -202,13 +202,19 @@ def default_template(choices: Column) -> Column:
 
 
 def judge_score(reply: Column) -> Column:
-    """Score of a judge reply: ``score`` of its JSON object within 0..1, else the first such number."""
-    found = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "score string, rationale string")
-    raw = F.get_json_object(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "$.score")
-    parsed = F.when(found.isNotNull() & raw.isNotNull(), raw.try_cast("double"))
+    """Score of a judge reply.
+
+    A JSON object counts by the number in its ``score``; without a number there it scores 0.  A reply that is no
+    JSON object, or whose number lies outside 0..1, counts by the first such number in its text.
+    """
+    found = F.try_parse_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0))
+    whole = F.coalesce(F.schema_of_variant(found).startswith("OBJECT"), F.lit(False))
+    given = F.try_variant_get(found, "$.score", "variant")
+    numeric = F.coalesce(F.schema_of_variant(given).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    number = F.when(numeric, F.try_variant_get(found, "$.score", "double")).otherwise(F.lit(0.0))
     plain = F.nullif(F.regexp_extract(reply, r"(?i)(?:score\D+)?([01](?:\.\d+)?)", 1), F.lit("")).try_cast("double")
     inside = lambda v: F.when(v.between(0.0, 1.0), v)
-    return F.coalesce(inside(parsed), inside(plain))
+    return F.coalesce(inside(F.when(whole, number)), inside(plain))
 
 
 def reward(text: Column) -> Column:

@@ -34,17 +34,19 @@ def settle_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
     Output cannot exceed what was delivered, prompt not the request, cached not the prompt.  Without
     usage the lower bounds count.  ``reserved`` is the most the request could cost and ``refund`` the
-    part of it that was not used.  Amounts are in dollars.
+    part of it that was not used.  Amounts are in dollars.  A request whose listing has no price keeps its
+    tokens, has no amounts and ``error`` set.
     """
     table = prices.select(
         "listing",
         F.col("input_price").cast(PRICE).alias("input_price"),
         F.least(F.coalesce("cached_price", "input_price"), F.col("input_price")).cast(PRICE).alias("_cached_price"),
         F.col("output_price").cast(PRICE).alias("output_price"),
+        F.lit(True).alias("_priced"),
     )
     zero = F.lit(0)
     prompt = F.least(F.coalesce("prompt_tokens", "prompt_floor", zero), F.col("request_tokens"))
-    rows = usage.join(table, "listing").withColumn("billed_prompt", F.greatest(prompt, zero))
+    rows = usage.join(table, "listing", "left").withColumn("billed_prompt", F.greatest(prompt, zero))
     rows = rows.withColumn(
         "billed_cached", F.greatest(F.least(F.coalesce("cached_tokens", zero), F.col("billed_prompt")), zero)
     ).withColumn(
@@ -58,6 +60,8 @@ def settle_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
         rows.withColumn("cost", (settled * per_million).cast(MONEY))
         .withColumn("reserved", (reserved * per_million).cast(MONEY))
         .withColumn("refund", F.col("reserved") - F.col("cost"))
+        .withColumn("error", F.when(F.col("_priced").isNull(), F.lit("listing has no price")))
+        .drop("_priced")
         .drop("_cached_price")
     )
 

@@ -279,10 +279,13 @@ def redact_labels(rows: DataFrame, document: str | None = None) -> DataFrame:
 
 
 def balanced_sample(results: DataFrame, by: Sequence[str], order: str, limit: int) -> DataFrame:
-    """Scored rows in order, at most ``limit // 2`` failing and the rest passing per group.
+    """Scored rows in order, at most ``limit // 2`` failing and the rest passing per group; all of them
+    if ``limit`` is 0 or less.
 
     The rank filter is applied inside each task before the shuffle, so a large group never meets in one task.
     """
+    if limit <= 0:
+        return results.where("scored")
     fails = limit // 2
     place = F.row_number().over(Window.partitionBy(*by, "pass").orderBy(order))
     rows = results.where("scored").withColumn("_place", place)

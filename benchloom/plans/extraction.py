@@ -74,7 +74,7 @@ def _(t):
 def sql_letter(value: str, choices: str) -> str:
     p = sql_plain(value)
     return rf"""CASE WHEN regexp_matches({p}, '^[a-z]$') THEN upper({p})
-      WHEN regexp_matches({p}, '^\d+$') THEN chr(64 + greatest(coalesce(try_cast({p} AS int), 1), 1))
+      WHEN regexp_matches({p}, '^\d+$') THEN CASE WHEN try_cast({p} AS int) <= 26 THEN chr(64 + greatest(try_cast({p} AS int), 1)) ELSE {p} END
       WHEN list_position(list_transform({choices}, lambda c: {sql_plain('c')}), {p}) > 0
         THEN chr(64 + cast(list_position(list_transform({choices}, lambda c: {sql_plain('c')}), {p}) AS int))
       ELSE coalesce(upper(list_filter(string_split_regex({p}, '\s+'), lambda w: regexp_matches(w, '^[a-z]$'))[1]), {p}) END"""

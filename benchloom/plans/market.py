@@ -55,7 +55,7 @@ _SETTLED = f"""WITH p AS ({_PRICES}), b AS (SELECT u.*, renter % 7 > 0 AS has, p
     AS bc, greatest(least(CASE WHEN has THEN output_tokens ELSE 3 END, del), 0) AS bo FROM c),
   s AS (SELECT d.*, input_price, output_price, ((bp - bc)::decimal(19,0) * input_price + bc::decimal(19,0) *
     least(coalesce(cached_price, input_price), input_price) + bo::decimal(19,0) * output_price) AS cost_m,
-    (req::decimal(19,0) * input_price + output_tokens::decimal(19,0) * output_price) AS res_m FROM d JOIN p USING (listing))"""
+    (req::decimal(19,0) * input_price + output_tokens::decimal(19,0) * output_price) AS res_m FROM d LEFT JOIN p USING (listing))"""
 
 
 @query(

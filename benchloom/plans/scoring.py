@@ -101,7 +101,7 @@ def _(t):
 @query(
     "score_judge",
     f"""WITH s AS (SELECT user_id, CASE event_id % 4 WHEN 0 THEN (event_id % 11) / 10.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5
-          END AS score FROM events)
+          ELSE CASE WHEN event_id % 8 = 7 THEN 0.0 END END AS score FROM events)
         SELECT user_id, count(*) AS replies, count(CASE WHEN score IS NULL THEN 1 END) AS failures,
           {r4('(sum(coalesce(score, 0)) / count(*))')} AS score FROM s GROUP BY user_id""",
 )
@@ -116,7 +116,8 @@ def _(t):
         )
         .when(k % 4 == 1, "I give it a Score: 1 of 1")
         .when(k % 4 == 2, '{"score": 7} but rather 0.5')
-        .otherwise("no number here")
+        .when(k % 8 == 3, "no number here")
+        .otherwise('{"score": "0.8", "rationale": "step 1 fine"}')
     )
     return ops.score_judge(t.events.select("user_id", reply.alias("reply")), "user_id")
 
