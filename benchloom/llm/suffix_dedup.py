@@ -39,9 +39,10 @@ from benchloom.llm.common import scaled_parts, stored, table
 #: Bytes of a gram (a multiple of 8).
 GRAM = 24
 #: Bytes of text in one block of documents, anchors in one bucket, suffixes in one bucket.
-BLOCK_BYTES, BUCKET_ANCHORS = 6 << 20, 1_000_000
-#: Bytes hashed at once, and documents of the sample for splitters.
+BLOCK_BYTES, BUCKET_ANCHORS = 10 << 20, 1_500_000
+#: Bytes hashed at once, anchors packed together, and documents of the sample for splitters.
 CHUNK = 1 << 19
+PACKED_ANCHORS = 1_000_000
 SAMPLE_DOCS = 4_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -286,12 +287,24 @@ def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, marks = _texts(frame), frame["mark"].to_numpy(np.int64)
-            for number, at, _, _, h in anchors(texts, length):
-                out = []
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def emit() -> pd.DataFrame:
+                number, at, h = (np.concatenate(c) for c in zip(*held))
+                held.clear()
                 rest = h // np.uint64(buckets)
-                for bucket, own in _by((h % np.uint64(buckets)).astype(np.int64), buckets):
-                    out.append((bucket, _pack_anchors(rest[own], marks, number[own], at[own])))
-                yield pd.DataFrame(out, columns=["bucket", "data"])
+                out = [
+                    (bucket, _pack_anchors(rest[own], marks, number[own], at[own]))
+                    for bucket, own in _by((h % np.uint64(buckets)).astype(np.int64), buckets)
+                ]
+                return pd.DataFrame(out, columns=["bucket", "data"])
+
+            for number, at, _, _, h in anchors(texts, length):
+                held.append((number, at, h))
+                if sum(len(n) for n, _, _ in held) > PACKED_ANCHORS:
+                    yield emit()
+            if held:
+                yield emit()
 
     def repeated(frame: pd.DataFrame) -> pd.DataFrame:
         h, marks, at = (np.concatenate(c) for c in zip(*map(_unpack_anchors, frame["data"])))
