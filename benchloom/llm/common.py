@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +13,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "llm") -> DataFrame:
     """``df`` written once to the shared folder and read back; a lost executor re-reads it.
 
-    The shuffle files behind it are not needed any more.  Spark deletes them once the driver has collected the
-    objects that stand for them, which is asked for here, since a driver with much memory may not do so for long.
+    The shuffle files behind it are not needed any more, so Spark is told to delete them with the write.
     """
-    out = materialize(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def scaled_parts(total: int, per_part: int, least: int = 1) -> int:
