@@ -28,7 +28,9 @@ from benchloom.llm.common import stored, table
 
 #: Categories in the order of the chain, each with the SQL of its label.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
-TRAIN_ROWS, FOLDS, LEAST_DOCS, FEATURES = 20_000, 3, 10, 1 << 16
+TRAIN_ROWS, FOLDS, LEAST_DOCS, FEATURES = 10_000, 3, 10, 1 << 16
+#: Partitions of the bounded training sample: few, so that an iteration sends few gradients.
+PARTS = 4
 #: Probability from which a document is toxic.
 THRESHOLD = 0.4
 TOKENS, WORDS = "__tokens", "__words"
@@ -49,7 +51,7 @@ def _fit(rows: DataFrame, label: str, inputs: list[str]) -> LogisticRegressionMo
         return float(seen[0])
     features = VectorAssembler(inputCols=[WORDS, *inputs], outputCol="__features").transform(rows)
     learner = LogisticRegression(
-        featuresCol="__features", labelCol=label, maxIter=60, regParam=0.002, elasticNetParam=1.0,
+        featuresCol="__features", labelCol=label, maxIter=40, regParam=0.002, elasticNetParam=1.0,
         standardization=False, family="binomial"
     )
     return learner.fit(features)
@@ -104,7 +106,7 @@ def fit_chain(
         vocabulary = CountVectorizerModel.from_vocabulary([""], TOKENS, WORDS)
     else:
         vocabulary = counter.fit(rows)
-    rows = stored(vocabulary.transform(rows).drop(TOKENS), "training")
+    rows = stored(vocabulary.transform(rows).drop(TOKENS).coalesce(PARTS), "training").coalesce(PARTS)
     models, inputs = {}, []
     for place, name in enumerate(categories):
         known = rows.where(F.col(name).isNotNull())
@@ -117,7 +119,7 @@ def fit_chain(
             whole = parts[0]
             for part in parts[1:]:
                 whole = whole.unionByName(part)
-            rows = stored(whole, "training")
+            rows = stored(whole.coalesce(PARTS), "training").coalesce(PARTS)
         inputs = [*inputs, f"p_{name}"]
     return Chain(vocabulary, models)
 
