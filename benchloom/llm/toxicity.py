@@ -28,7 +28,7 @@ from benchloom.llm.common import stored, table
 
 #: Categories in the order of the chain, each with the SQL of its label.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
-TRAIN_ROWS, FOLDS, LEAST_DOCS, FEATURES = 10_000, 3, 10, 1 << 16
+TRAIN_ROWS, FOLDS, LEAST_DOCS, FEATURES = 10_000, 2, 10, 1 << 16
 #: Partitions of the bounded training sample: few, so that an iteration sends few gradients.
 PARTS = 4
 #: Probability from which a document is toxic.
@@ -51,7 +51,7 @@ def _fit(rows: DataFrame, label: str, inputs: list[str]) -> LogisticRegressionMo
         return float(seen[0])
     features = VectorAssembler(inputCols=[WORDS, *inputs], outputCol="__features").transform(rows)
     learner = LogisticRegression(
-        featuresCol="__features", labelCol=label, maxIter=40, regParam=0.002, elasticNetParam=1.0,
+        featuresCol="__features", labelCol=label, maxIter=25, regParam=0.002, elasticNetParam=1.0,
         standardization=False, family="binomial"
     )
     return learner.fit(features)
