@@ -259,27 +259,51 @@ def patch_runs(
     fields: Sequence[str],
     set_values: dict[str, Column] | None = None,
     unset: Sequence[str] = (),
+    named: str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """Edit runs by key: values of a patch win where given, then ``set_values``, then ``unset`` clears.
+    """Edit the runs that have a patch: values of the patch win, then ``set_values``, then ``unset`` clears.
 
-    A struct field is merged member by member.
+    ``named`` is a column of the patches with the names of the fields each one holds (``field`` or
+    ``field.member``); a field held as null is cleared.  Without it a null counts as not held.  Of several
+    patches of one key the last by ``order`` that holds a field wins (ties: the larger value), so a run is never
+    doubled.  A struct field is merged member by member.
     """
-    renamed = patches.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_new_{f}") for f in fields])
-    rows = runs.join(renamed, F.col(key) == F.col("_key"), "left")
+
+    def leaves(name: str) -> list[str]:
+        kind = runs.schema[name].dataType
+        return [f"{name}.{m}" for m in kind.names] if kind.typeName() == "struct" else [name]
+
+    place = {leaf: f"_new_{i}" for i, leaf in enumerate(x for f in fields for x in leaves(f))}
+
+    def newest(leaf: str) -> Column:
+        held = F.col(leaf).isNotNull()
+        if named:
+            # A patch that names the whole struct holds all its members.
+            held = F.array_contains(named, leaf) | F.array_contains(named, leaf.split(".")[0])
+        at = F.col(order) if order else F.lit(0)
+        return F.max(F.when(held, F.struct(at.alias("at"), F.col(leaf).alias("value"))))
+
+    by_key = patches.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+    last = by_key.agg(F.lit(True).alias("_patched"), *[newest(leaf).alias(n) for leaf, n in place.items()])
+    rows = runs.join(last, F.col(key) == F.col("_key"), "left")
+    patched = F.col("_patched").isNotNull()
+
+    def merged_leaf(leaf: str) -> Column:
+        new = F.col(place[leaf])
+        return F.when(new.isNotNull(), new["value"]).otherwise(F.col(leaf))
 
     def merged(name: str) -> Column:
         if name in unset:
-            return F.lit(None).cast(runs.schema[name].dataType)
+            return F.when(~patched, F.col(name))
         if set_values and name in set_values:
-            return F.when(F.col("_key").isNotNull(), set_values[name]).otherwise(F.col(name))
+            return F.when(patched, set_values[name]).otherwise(F.col(name))
         if name not in fields:
             return F.col(name)
-        kind = runs.schema[name].dataType
-        if kind.typeName() == "struct":
-            return F.struct(
-                *[F.coalesce(F.col(f"_new_{name}.{m}"), F.col(f"{name}.{m}")).alias(m) for m in kind.names]
-            )
-        return F.coalesce(F.col(f"_new_{name}"), F.col(name))
+        if runs.schema[name].dataType.typeName() == "struct":
+            whole = F.struct(*[merged_leaf(leaf).alias(leaf.split(".", 1)[1]) for leaf in leaves(name)])
+            return F.when(patched, whole).otherwise(F.col(name))
+        return merged_leaf(name)
 
     return rows.select(*[merged(c).alias(c) for c in runs.columns])
 

@@ -162,21 +162,25 @@ def _(t):
 
 @query(
     "patch_runs",
-    """SELECT o.o_orderkey, coalesce(p.status, o.o_orderstatus) AS o_orderstatus,
-         CASE WHEN p.k IS NOT NULL THEN 'edited' ELSE o.o_orderpriority END AS o_orderpriority,
-         o.o_totalprice, cast(NULL AS bigint) AS o_custkey
-       FROM orders o LEFT JOIN (SELECT o_orderkey * 3 AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'X' END AS status
-         FROM orders) p ON p.k = o.o_orderkey""",
+    # Several patches of a key in order, some of which clear the status and some of which do not name it.
+    """WITH p AS (SELECT o_orderkey - o_orderkey % 3 AS k, o_orderkey AS turn, o_orderkey % 5 <> 0 AS held,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'X' END AS status FROM orders),
+       l AS (SELECT k, bool_or(held) AS held, (list(status ORDER BY turn DESC) FILTER (WHERE held))[1] AS status FROM p GROUP BY k)
+       SELECT o.o_orderkey, CASE WHEN l.held THEN l.status ELSE o.o_orderstatus END AS o_orderstatus,
+         CASE WHEN l.k IS NOT NULL THEN 'edited' ELSE o.o_orderpriority END AS o_orderpriority,
+         o.o_totalprice, CASE WHEN l.k IS NULL THEN o.o_custkey END AS o_custkey
+       FROM orders o LEFT JOIN l ON l.k = o.o_orderkey""",
 )
 def _(t):
     orders = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")
     patches = t.orders.select(
-        (F.col("o_orderkey") * 3).alias("o_orderkey"),
+        (F.col("o_orderkey") - F.col("o_orderkey") % 3).alias("o_orderkey"),
         F.when(F.col("o_orderkey") % 2 == 0, "X").alias("o_orderstatus"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.array(F.lit("o_orderstatus"))).otherwise(F.array().cast("array<string>")).alias("named"),
+        F.col("o_orderkey").alias("at"),
     )
-    return ops.patch_runs(
-        orders, patches, "o_orderkey", ["o_orderstatus"], {"o_orderpriority": F.lit("edited")}, ["o_custkey"]
-    )
+    edited = {"o_orderpriority": F.lit("edited")}
+    return ops.patch_runs(orders, patches, "o_orderkey", ["o_orderstatus"], edited, ["o_custkey"], "named", "at")
 
 
 @query(

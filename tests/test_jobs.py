@@ -61,6 +61,29 @@ def test_compare_pair(spark):
     assert (rows["ttft_ms"].percent, rows["ttft_ms"].better) == (50.0, True)
 
 
+def test_patches_clear_fields_and_never_double_runs(spark):
+    runs = spark.createDataFrame(
+        [(1, "a", (1, 2)), (2, "b", (3, 4)), (3, "c", None)], "id int, name string, at struct<x:int,y:int>"
+    )
+    patches = spark.createDataFrame(
+        [
+            (1, "new", (9, None), ["name", "at.x"], 1),
+            (1, None, None, ["name"], 2),
+            (2, None, (None, None), ["at"], 1),
+            (None, "lost", None, ["name"], 1),
+        ],
+        "id int, name string, at struct<x:int,y:int>, named array<string>, n int",
+    )
+    got = run_ops.patch_runs(runs, patches, "id", ["name", "at"], named="named", order="n")
+    assert sorted((r.id, r.name, r.at and tuple(r.at)) for r in got.collect()) == [
+        (1, None, (9, 2)),
+        (2, "b", (None, None)),
+        (3, "c", None),
+    ]
+    plain = run_ops.patch_runs(runs, patches, "id", ["name"], unset=["at"])
+    assert sorted((r.id, r.name, r.at is None) for r in plain.collect()) == [(1, "new", True), (2, "b", True), (3, "c", True)]
+
+
 def test_bench_rows(spark):
     texts = spark.createDataFrame(
         [
