@@ -43,6 +43,8 @@ BLOCK_BYTES, BUCKET_ANCHORS = 10 << 20, 1_500_000
 #: Bytes hashed at once, anchors packed together, and documents of the sample for splitters.
 CHUNK = 1 << 19
 PACKED_ANCHORS = 1_000_000
+#: Suffixes of a block or bucket that are sorted at once.
+SLICE = 150_000
 SAMPLE_DOCS = 4_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -122,14 +124,16 @@ def _pack(*arrays: np.ndarray) -> bytes:
 def _unpack(blobs, kinds: list[str]) -> list[np.ndarray]:
     """The arrays of several blobs of rows, one after another."""
     width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        raw = zstandard.decompress(blob)
-        n, at = len(raw) // width, 0
+    counts = [zstandard.frame_content_size(blob) // width for blob in blobs]
+    out = [np.empty(sum(counts), k) for k in kinds]
+    begin = 0
+    for blob, n in zip(blobs, counts):
+        raw, at = zstandard.decompress(blob), 0
         for o, k in zip(out, kinds):
-            o.append(np.frombuffer(raw, k, n, at))
+            o[begin : begin + n] = np.frombuffer(raw, k, n, at)
             at += n * np.dtype(k).itemsize
-    return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds)]
+        begin += n
+    return out
 
 
 #: Bits of a gram's hash that a bucket compares, besides those that chose the bucket.  A bucket holds a bounded
@@ -214,6 +218,24 @@ def _words(data: np.ndarray) -> np.ndarray:
     return padded.view(">u8").astype(np.uint64)
 
 
+def leading_words(texts: list[bytes], number: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first eight bytes of every anchor's gram, as numbers in the order of the bytes."""
+    sizes = np.array([len(t) for t in texts])
+    place = (np.cumsum(sizes) - sizes)[number] + at
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    out = np.zeros(len(at), np.uint64)
+    for i in range(8):
+        out = out << np.uint64(8) | data[place + i]
+    return out
+
+
+def slices(words: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the words, range by range, each of about ``size``; equal words stay together."""
+    order = np.argsort(words, kind="stable")
+    cuts = np.searchsorted(words[order], np.unique(words[order[size::size]]))
+    return [own for own in np.split(order, cuts) if len(own)]
+
+
 def _common(data: np.ndarray) -> np.ndarray:
     """Bytes that each row shares with the row before; -1 for the first."""
     differ = data[1:] != data[:-1]
@@ -270,7 +292,13 @@ def shared_windows(data: np.ndarray, before: np.ndarray, after: np.ndarray, ids:
 SUFFIX = ["<i8", "<i8", "<i4", "u1", "u1"]
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame,
+    length: int = 50,
+    block_bytes: int = BLOCK_BYTES,
+    bucket_anchors: int = BUCKET_ANCHORS,
+    at_once: int = SLICE,
+) -> DataFrame:
     """``doc_id``, ``text``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (bytes), ``kept_sha256``."""
     spark = docs.sparkSession
     given = docs.select(
@@ -397,28 +425,33 @@ def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
             pieces.append((number[keep], at[keep], lo[keep], hi[keep]))
         number, at, lo, hi = (np.concatenate(c) for c in zip(*pieces))
         row = np.array(use)[number]
-        data = contexts(sub, number, at, lo, hi, length)
-        before, after = (at - lo).astype(np.uint8), (at - hi).astype(np.uint8)
-        whole = np.concatenate([data, before[:, None], after[:, None]], axis=1)
-        order = multikey_order(_words(whole))
-        whole, data = whole[order], data[order]
-        row, at, lo, hi, before, after = (a[order] for a in (row, at, lo, hi, before, after))
-        start = np.concatenate([[True], (whole[1:] != whole[:-1]).any(axis=1)])
-        least = np.minimum.reduceat(ids[row], np.nonzero(start)[0])[np.cumsum(start) - 1]
-        later = ids[row] > least
+        block = int(block_docs["block"].iloc[0])
+        cuts = np.array(splitters, f"S{width}")
         out = []
-        gone = np.nonzero(later)[0]
-        if len(gone):
-            block = int(block_docs["block"].iloc[0])
-            out.append(("span", block, _pack(marks[row[gone]], lo[gone], hi[gone] + length)))
-        stay = np.nonzero(~later)[0]
-        flat = np.ascontiguousarray(data[stay]).view(f"S{width}")[:, 0]
-        place = np.searchsorted(np.array(splitters, f"S{width}"), flat, side="right") if splitters else np.zeros(len(stay), int)
-        for bucket, own in _by(place, buckets):
-            p = stay[own]
-            out.append(
-                ("suffix", bucket, _pack(ids[row[p]], marks[row[p]], at[p].astype("<i4"), before[p], after[p], data[p]))
-            )
+        # Equal contexts begin with equal bytes, so they are in one slice.
+        for part in slices(leading_words(sub, number, at), at_once):
+            data = contexts(sub, number[part], at[part], lo[part], hi[part], length)
+            before, after = (at[part] - lo[part]).astype(np.uint8), (at[part] - hi[part]).astype(np.uint8)
+            whole = np.concatenate([data, before[:, None], after[:, None]], axis=1)
+            order = multikey_order(_words(whole))
+            whole = whole[order]
+            start = np.concatenate([[True], (whole[1:] != whole[:-1]).any(axis=1)])
+            del whole
+            part = part[order]
+            owner = ids[row[part]]
+            least = np.minimum.reduceat(owner, np.nonzero(start)[0])[np.cumsum(start) - 1]
+            later = owner > least
+            gone = part[later]
+            if len(gone):
+                out.append(("span", block, _pack(marks[row[gone]], lo[gone], hi[gone] + length)))
+            stay, part = order[~later], part[~later]
+            data, before, after = data[stay], before[stay], after[stay]
+            place = np.searchsorted(cuts, data.view(f"S{width}")[:, 0], side="right")
+            for bucket, own in _by(place, buckets):
+                p = part[own]
+                out.append(
+                    ("suffix", bucket, _pack(ids[row[p]], marks[row[p]], at[p].astype("<i4"), before[own], after[own], data[own]))
+                )
         return pd.DataFrame(out, columns=columns)
 
     ready = stored(
@@ -427,20 +460,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     )
 
     # 3. and 4. Sort a bucket, find the shared windows.
-    def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = [*SUFFIX, f"V{width}"]
-        ids, marks, at, before, after, data = _unpack(frame["data"], kinds)
-        data = np.ascontiguousarray(data).view(np.uint8).reshape(-1, width)
+    def sort_slice(ids, marks, at, before, after, data, out: list[tuple]) -> None:
         order = multikey_order(_words(data))
         ids, marks, at, before, after, data = (a[order] for a in (ids, marks, at, before, after, data))
-        at = at.astype(np.int64)
         same = _common(data[:, :GRAM]) >= GRAM
         start = np.nonzero(~same)[0]
         group = np.cumsum(~same) - 1
         across = np.array([data[s, :GRAM].tobytes() in shared_grams for s in start])[group]
         several = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start))[group] & ~across
         own = np.nonzero(several)[0]
-        out = []
         if len(own):
             first, last = shared_windows(data[own], before[own], after[own], ids[own], length)
             hit = np.nonzero(first >= 0)[0]
@@ -456,6 +484,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
                 block = int(_block_of(marks[i : i + 1], blocks)[0])
                 spot = np.array([at[i] - shift], np.int64)
                 out.append(("window", block, _pack(marks[i : i + 1], spot, spot + length), window, int(ids[i])))
+
+    def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+        kinds = [*SUFFIX, f"V{width}"]
+        ids, marks, at, before, after, data = _unpack(frame["data"], kinds)
+        data = data.view(np.uint8).reshape(-1, width)
+        lead = np.ascontiguousarray(data[:, :8]).view(">u8")[:, 0].astype(np.uint64)
+        out = []
+        # Suffixes that begin with equal grams are in one slice.
+        for part in slices(lead, at_once):
+            sort_slice(ids[part], marks[part], at[part].astype(np.int64), before[part], after[part], data[part], out)
         kind, place, packed_spans, window, owner = zip(*out) if out else ((),) * 5
         return pd.DataFrame(
             {"kind": kind, "place": place, "data": packed_spans, "window": window, "id": pd.array(owner, "Int64")}

@@ -266,8 +266,8 @@ def test_suffixes(spark, texts):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want.append((None if d == big else d, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    for blocks, anchors in ((1 << 20, 100_000), (3_000, 150)):
-        got = suffix_dedup.repeated_spans(docs_of(spark, texts), block_bytes=blocks, bucket_anchors=anchors).collect()
+    for blocks, anchors, at_once in ((1 << 20, 100_000, 100_000), (3_000, 150, 20)):
+        got = suffix_dedup.repeated_spans(docs_of(spark, texts), 50, blocks, anchors, at_once).collect()
         rows = [(g["doc_id"], g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in got]
         assert sorted(rows, key=str) == sorted(want, key=str)
     assert suffix_dedup.repeated_spans(docs_of(spark, [])).count() == 0
@@ -281,6 +281,14 @@ def test_multikey_order():
     assert rows == sorted(rows)
 
 
+def test_slices_keep_equal_words_together():
+    words = np.random.default_rng(5).integers(0, 40, 500).astype(np.uint64)
+    parts = suffix_dedup.slices(words, 30)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(500)) and len(parts) > 5
+    assert all(words[a].max() < words[b].min() for a, b in zip(parts, parts[1:]))
+    assert suffix_dedup.slices(words[:0], 30) == []
+
+
 def smith_waterman(a, b):
     best, before = 0, [0] * (len(b) + 1)
     for x in a:
