@@ -41,8 +41,8 @@ GRAM = 24
 #: Bytes of text in one block of documents, anchors in one bucket, suffixes in one bucket.
 BLOCK_BYTES, BUCKET_ANCHORS = 10 << 20, 1_500_000
 #: Bytes hashed at once, anchors packed together, and documents of the sample for splitters.
-CHUNK = 1 << 19
-PACKED_ANCHORS = 1_000_000
+CHUNK = 1 << 18
+PACKED_ANCHORS = 500_000
 #: Suffixes of a block or bucket that are sorted at once.
 SLICE = 150_000
 SAMPLE_DOCS = 4_000
@@ -172,7 +172,7 @@ def _unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _texts(frame: pd.DataFrame) -> list[bytes]:
-    return [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
+    return [b"" if t is None else t for t in frame["text"]]
 
 
 def _ids(frame: pd.DataFrame) -> np.ndarray:
@@ -328,7 +328,7 @@ def repeated_spans(
                 return pd.DataFrame(out, columns=["bucket", "data"])
 
             for number, at, _, _, h in anchors(texts, length):
-                held.append((number, at, h))
+                held.append((number.astype("<i4"), at.astype("<i4"), h))
                 if sum(len(n) for n, _, _ in held) > PACKED_ANCHORS:
                     yield emit()
             if held:
@@ -347,7 +347,8 @@ def repeated_spans(
             columns=["block", "kind", "data"],
         )
 
-    texts_only = given.select("id", "text", "mark")
+    # As bytes, so a worker holds a text once.
+    texts_only = given.select("id", F.col("text").cast("binary").alias("text"), "mark")
     wanted = (
         texts_only.mapInPandas(gather, "bucket long, data binary")
         .groupBy("bucket")
