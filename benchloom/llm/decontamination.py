@@ -1,10 +1,11 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment.
 
-One scan counts in how many documents each n-gram of the benchmark stands.  Each item keeps the rarest half of
-its n-grams as seeds - by rank within the item, so an item that was copied a million times has as many seeds as
-any other.  A second scan finds the seeds in every document, gathers hits of one item on neighbouring diagonals
-to a window, and aligns the item's words with the window's words.  The best alignment of a document and an item
-counts if its score reaches a share of the score of an exact copy, so edits, gaps and insertions are tolerated.
+Every n-gram of an item is a seed, since an edit leaves no more than the n-grams it does not touch, and those may
+be the common ones.  One scan finds the seeds in every document and gathers hits of one item on neighbouring
+diagonals to a window.  A window in which too few of the item's words stand cannot reach the score - no more words
+match than stand there - and is left out; the item's words are aligned with the words of every other.  The best
+alignment of a document and an item counts if its score reaches a share of the score of an exact copy, so edits,
+gaps and insertions are tolerated as long as n words in a row are left.
 
 The benchmark goes to the tasks in chunks of bounded size; a larger benchmark takes more scans.  Documents never
 move.
@@ -125,6 +126,9 @@ class Benchmark:
         self.item, self.place = np.concatenate(item or none), np.concatenate(place or none)
         self.widths = sorted(set(width))
         self._index(np.concatenate(gram or [np.zeros(0, np.uint64)]))
+        # The items' words by number.
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        self.numbers = [np.searchsorted(self.known, w) for w in self.words]
 
     def _index(self, gram: np.ndarray) -> None:
         order = np.argsort(gram, kind="stable")
@@ -147,16 +151,18 @@ class Benchmark:
         none = [np.zeros(0, np.int64)]
         return np.concatenate(places or none), np.concatenate(numbers or none)
 
-    def keep_rarest(self, documents: np.ndarray) -> None:
-        """Keep the rarer half of each item's grams as seeds; ``documents`` counts those that hold a gram."""
-        number = np.repeat(np.arange(len(self.gram)), np.diff(self.first))
-        order = np.lexsort((self.place, number, documents[number], self.item))
-        start = np.searchsorted(self.item[order], self.item[order], "left")
-        have = np.searchsorted(self.item[order], self.item[order], "right") - start
-        keep = order[np.arange(len(order)) - start < (have + 1) // 2]
-        gram = self.gram[number[keep]]
-        self.item, self.place = self.item[keep], self.place[keep]
-        self._index(gram)
+    def shared(self, words: np.ndarray, windows: list[tuple[int, int, int]]) -> list[int]:
+        """Of each window (item, begin, end) in ``words``, how many places of the item hold a word of the window."""
+        number = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        number = np.where(self.known[number] == words, number, len(self.known))
+        here, out = np.zeros(len(self.known) + 1, bool), []
+        for item, begin, end in windows:
+            own = number[begin:end]
+            here[own] = True
+            here[-1] = False
+            out.append(int(np.count_nonzero(here[self.numbers[item]])))
+            here[own] = False
+        return out
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -223,23 +229,6 @@ def contaminated(
 
 
 def _search(spark, texts: DataFrame, bench: Benchmark, least: float) -> DataFrame:
-    whole = spark.sparkContext.broadcast(bench)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = whole.value
-        total = np.zeros(len(b.gram), np.int64)
-        for frame in frames:
-            for words in word_hashes(frame["text"].tolist()):
-                total[np.unique(b.find(words)[1])] += 1
-        seen = np.nonzero(total)[0]
-        yield pd.DataFrame({"gram": seen, "n": total[seen]})
-
-    # One row per n-gram of the chunk at most.
-    counted = texts.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    documents = np.zeros(len(bench.gram), np.int64)
-    for r in counted:
-        documents[r["gram"]] = r["n"]
-    bench.keep_rarest(documents)
     seeds = spark.sparkContext.broadcast(bench)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,8 +249,10 @@ def _search(spark, texts: DataFrame, bench: Benchmark, least: float) -> DataFram
             for d, words in enumerate(word_hashes(frame["text"].tolist())):
                 hits = b.find(words)
                 if len(hits[0]):
-                    for item, begin, end in zip(*(x.tolist() for x in _windows(hits, b))):
-                        todo.append((d, item, begin, words[begin:end]))
+                    windows = list(zip(*(x.tolist() for x in _windows(hits, b))))
+                    for (item, begin, end), most in zip(windows, b.shared(words, windows)):
+                        if most >= least * len(b.words[item]):
+                            todo.append((d, item, begin, words[begin:end]))
                 if len(todo) > 8 * TOGETHER:
                     settle()
             settle()

@@ -331,6 +331,27 @@ def test_decontamination(spark, texts):
     assert decontamination.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_heavily_edited_copies(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(f"v{i}x{r.randrange(900)}" for _ in range(30))) for i in range(3)]
+    every_fifth = lambda t, k: " ".join(f"new{k}y{j}" if j % 5 == 4 else w for j, w in enumerate(t.split()))
+    # One copy; many copies with equal edits; copies of half an item, behind other words.
+    rows = [(0, "lead " + every_fifth(items[0][1], 0) + " end")]
+    rows += [(100 + k, every_fifth(items[1][1], 1) + f" tail{k}") for k in range(300)]
+    rows += [(500 + k, f"other{k} " * 20 + " ".join(items[2][1].split()[15:])) for k in range(40)]
+    rows += [(900, "nothing " + " ".join(items[0][1].split()[:9]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(docs_of(spark, rows), bench).collect()
+    want = {}
+    for d, t in rows:
+        for i, q in items:
+            score = smith_waterman(q.split(), t.split()) / 60
+            if score >= 0.5:
+                want[d, i] = round(score, 6)
+    assert len(want) == 341
+    assert {(g["doc_id"], g["item_id"]): g["score"] for g in got} == want
+
+
 def test_a_very_long_text_hashes_like_its_words():
     text = " ".join(f"w{i % 977}" for i in range(300_000))
     whole = decontamination.word_hashes([text])[0]
