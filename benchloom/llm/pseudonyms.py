@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms of personal numbers, dates and addresses by a keyed Feistel permutation.
 
 Values are found by pattern and validated: card numbers by their check digit, telephone and social security
-numbers by their rules, internet addresses by their ranges, dates by the calendar.  A valid value becomes a
+numbers by their rules, internet addresses by their ranges, dates by the calendar.  In a run of digit groups every
+sequence of whole groups may be a card, so numbers beside one do not hide it.  A valid value becomes a
 number within the set of all values of its format, and a Feistel network keyed by a secret permutes that set
 (out-of-set results are permuted again).  So a card number stays a valid card number, a date a date, and equal
 values get equal pseudonyms in all documents, while nothing but the key leads back.
@@ -33,9 +34,12 @@ PATTERN = re.compile(
     |(?<![\d-])(?P<date>\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4})(?![\d-])
     |(?<![\d-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\d-])
     |(?<![\w+])(?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)
-    |(?<![\d.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\d-])""",
+    |(?<![\d.-])(?P<card>\d(?:[ -]?\d){12,})""",
     re.VERBOSE | re.ASCII,
 )
+#: A run of digits, and its groups.
+RUN, GROUP = re.compile(r"\d(?:[ -]?\d)*", re.ASCII), re.compile(r"\d+", re.ASCII)
+CARD_DIGITS = range(13, 20)
 #: A text without any of these holds no value.
 HINT = re.compile(r"[0-9@]")
 
@@ -94,7 +98,7 @@ Permute = Callable[[int, int, str], int]
 
 def _card(value: str, p: Permute) -> str | None:
     d = _digits(value)
-    if luhn_digit(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    if not _is_card(d):
         return None
     payload = str(p(int(d[:-1]), 10 ** (len(d) - 1), f"card{len(d)}")).zfill(len(d) - 1)
     return _fill(value, payload + str(luhn_digit(payload)))
@@ -166,6 +170,70 @@ def _email(value: str, p: Permute) -> str | None:
 KINDS = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "email": _email}
 
 
+def _is_card(d: str) -> bool:
+    return luhn_digit(d[:-1]) == int(d[-1]) and len(set(d)) > 1
+
+
+def card_spans(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """Begin and end of the cards in a run of digits: whole groups with the check digit right, chosen so that they
+    cover as many digits as can be; the first and longest where that is equal."""
+    groups = [m.span() for m in GROUP.finditer(text, begin, end)]
+    # From each group on: the digits that are covered, and where the card from there ends (0: none begins there).
+    covered, stops = [0] * (len(groups) + 1), [0] * len(groups)
+    for i in range(len(groups) - 1, -1, -1):
+        covered[i], digits = covered[i + 1], ""
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            if len(digits) + b - a > CARD_DIGITS[-1]:
+                break
+            digits += text[a:b]
+            outer = b == end and text[b : b + 1] == "-"
+            if len(digits) in CARD_DIGITS and not outer and len(digits) + covered[j + 1] >= max(covered[i], 1) and _is_card(digits):
+                covered[i], stops[i] = len(digits) + covered[j + 1], j + 1
+    spans, i = [], 0
+    while i < len(groups):
+        if stops[i]:
+            spans.append((groups[i][0], groups[stops[i] - 1][1]))
+        i = stops[i] or i + 1
+    return spans
+
+
+def _values(text: str) -> Iterator[tuple[str, int, int]]:
+    """Kind, begin and end of everything that may be a value.  After one that is none, the search goes on right
+    behind its begin; the cards of a run of digits are chosen together, and other kinds looked for between them."""
+
+    def at(begin: int) -> tuple[str, int, int] | None:
+        m = PATTERN.match(text, begin)
+        return (m.lastgroup, begin, m.end()) if m and m.lastgroup != "card" and KINDS[m.lastgroup](m.group(), _same) else None
+
+    pos = 0
+    while match := PATTERN.search(text, pos):
+        begin, pos = match.start(), match.end()
+        if match.lastgroup != "card" and KINDS[match.lastgroup](match.group(), _same) is not None:
+            yield match.lastgroup, begin, pos
+            continue
+        run = RUN.match(text, begin)
+        if run is None:
+            pos = begin + 1
+            continue
+        cards = card_spans(text, begin, run.end())
+        pos, left = begin, cards[::-1]
+        for a, _ in [m.span() for m in GROUP.finditer(text, begin, run.end())]:
+            if a < pos:
+                continue
+            if left and a == left[-1][0]:
+                _, pos = left.pop()
+                yield "card", a, pos
+            elif (other := at(a)) and not (left and other[2] > left[-1][0]):
+                yield other
+                pos = other[2]
+        pos = max(pos, run.end())
+
+
+def _same(value: int, size: int, tweak: str) -> int:
+    return value
+
+
 def replace_values(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and ``(kind, start, length, pseudonym)`` of each, by places in ``text``."""
     if not isinstance(text, str) or not HINT.search(text):
@@ -175,13 +243,11 @@ def replace_values(text: str | None, key: bytes, back: bool = False) -> tuple[st
         return permute(value, size, key, tweak, back)
 
     out, found, at = [], [], 0
-    for match in PATTERN.finditer(text):
-        kind, value = match.lastgroup, match.group()
-        new = KINDS[kind](value, p)
-        if new is not None:
-            out += [text[at : match.start()], new]
-            at = match.end()
-            found.append((kind, match.start(), len(value), new))
+    for kind, begin, end in _values(text):
+        new = KINDS[kind](text[begin:end], p)
+        out += [text[at:begin], new]
+        at = end
+        found.append((kind, begin, end - begin, new))
     return "".join([*out, text[at:]]), found
 
 

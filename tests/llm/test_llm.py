@@ -386,6 +386,31 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymize(docs_of(spark, []), b"key").count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, cards",
+    [
+        ("4539 1488 0343 6467 12/25", ["4539 1488 0343 6467"]),
+        ("qty 3 4539 1488 0343 6467", ["4539 1488 0343 6467"]),
+        ("qty 3 4539-1488-0343-6467-12", ["4539-1488-0343-6467"]),
+        ("77-4539-1488-0343-6467-12", ["4539-1488-0343-6467"]),
+        ("9 4539148803436467 4111 1111 1111 1111 12", ["4539148803436467", "4111 1111 1111 1111"]),
+        ("no 1234 1234 1234 1234 5", []),
+    ],
+)
+def test_cards_beside_numbers(text, cards):
+    new, found = pseudonyms.replace_values(text, b"key")
+    assert [(k, text[a : a + n]) for k, a, n, _ in found] == [("card", c) for c in cards]
+    assert not any(c in new for c in cards)
+    assert pseudonyms.replace_values(new, b"key", back=True)[0] == text
+
+
+def test_values_beside_failed_runs():
+    text = "5 1234 1234 1234 1000 2001-02-03, 123 456 7890 4539 1488 0343 6467 10.0.0.1"
+    found = pseudonyms.replace_values(text, b"key")[1]
+    want = [("date", "2001-02-03"), ("card", "4539 1488 0343 6467"), ("ip", "10.0.0.1")]
+    assert [(k, text[a : a + n]) for k, a, n, _ in found] == want
+
+
 def test_lines(spark):
     prose = lambda k: f"the story number one of writer {'abcdefghij'[k % 10]} goes on {k}x"
     rows = [(i, f"unique words {'xyz'[i % 3] * (i + 1)} here\nPage {i} of 99\n\nAll rights reserved") for i in range(12)]
