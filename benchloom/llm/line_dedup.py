@@ -3,8 +3,9 @@
 A line is split at white space; a token with a digit is a variable field.  The tree has fixed depth: the number of
 tokens, then the leading tokens.  Only leaves that hold enough lines of more than one document are looked at.
 Inside a leaf, a token that few lines have at its place is a variable field too, so lines that differ there share
-a template; if too few constant tokens would be left, the line is a template by itself.  A template that stands
-in enough documents recurs: it stays where it stands first - the smallest id, then the first line - and is
+a template; if too few constant tokens would be left, the line is a template by itself: with its fields if at
+least half of its tokens and letters are outside of them, else word for word, so rows of numbers and lines of texts
+without spaces recur only if they are equal.  A template that stands in enough documents recurs: it stays where it stands first - the smallest id, then the first line - and is
 dropped everywhere else.
 
 Texts are shuffled twice (to find the leaves' lines, and to cut the documents); in between only hashes, counts
@@ -28,11 +29,25 @@ SPACE = r"[ \t\r\f]+"
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and its tokens with digits as fields; patterns run only where they match."""
+def tidied(line: Column) -> Column:
+    """The line with single spaces; patterns run only where they match."""
     tidy = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-    single = F.when(line.rlike(r"[\t\r\f]|  |^ | $"), tidy).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(single)
+    return F.when(line.rlike(r"[\t\r\f]|  |^ | $"), tidy).otherwise(line)
+
+
+def masked(single: Column) -> Column:
+    """A tidied line with its tokens with digits as fields."""
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(single)
+
+
+def by_itself() -> Column:
+    """The template of a line by itself: its fields count as such if they are at most half of its tokens and
+    letters, else it is the whole line."""
+    fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD), F.lit("")))) / len(FIELD)
+    outside = F.length("masked") - fields * len(FIELD) - (F.col("n") - 1)
+    letters = F.col("width") - (F.col("n") - 1)
+    few = (fields * 2 <= F.col("n")) & (outside * 2 >= letters)
+    return F.when(few, F.xxhash64("line_id", F.lit(2))).otherwise(F.xxhash64("raw", F.lit(3)))
 
 
 def dropped_lines(
@@ -41,13 +56,16 @@ def dropped_lines(
     """Places (from 0) of the lines to drop of every document that has some: ``doc_id``, ``mark``, ``drop``."""
     numbers = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
     lines = (
-        numbers.withColumn("masked", masked(F.col("line")))
+        numbers.withColumn("line", tidied(F.col("line")))
+        .withColumn("masked", masked(F.col("line")))
         .where("masked <> ''")
         .select(
             "doc_id",
             "mark",
             "place",
             "masked",
+            F.xxhash64("line").alias("raw"),
+            F.length("line").alias("width"),
             (F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).alias("n"),
             F.substring_index("masked", " ", depth).alias("lead"),
         )
@@ -90,11 +108,13 @@ def dropped_lines(
             (leading + F.coalesce("constants", F.lit(0))) >= F.col("n") * similarity,
             F.xxhash64(*leaf, F.coalesce("general", F.lit(0).cast("long")), F.lit(1)),
         )
-        .otherwise(F.xxhash64("line_id", F.lit(2)))
         .alias("template"),
     )
     placed = stored(
-        held.select("doc_id", "mark", "place", "line_id").join(templates, "line_id").drop("line_id"), "templates"
+        held.select("doc_id", "mark", "place", "line_id", by_itself().alias("own"))
+        .join(templates, "line_id")
+        .select("doc_id", "mark", "place", F.coalesce("template", "own").alias("template")),
+        "templates",
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "place")
     recurring = (

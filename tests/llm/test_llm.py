@@ -427,6 +427,14 @@ def test_lines(spark):
     assert line_dedup.without_recurring_lines(docs_of(spark, [])).count() == 0
 
 
+def test_lines_of_fields_recur_only_if_equal(spark):
+    rows = [(i, f"{i}.5 13.{i} 99.{i}\nTotal {i} {i + 1} {i + 2}\n今天天气很好温度是{i}度我们去公园\n価格は {i}円でした本日のみ限定です") for i in range(12)]
+    rows += [(20 + i, f"1.5 2.5 3.5\n第3章おわり\nPage {i} of 99") for i in range(12)]
+    got = {g["doc_id"]: g["text"] for g in line_dedup.without_recurring_lines(docs_of(spark, rows)).collect()}
+    assert all(got[i] == t for i, t in rows[:12])
+    assert got[20] == rows[12][1] and {got[20 + i] for i in range(1, 12)} == {""}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(60)]
