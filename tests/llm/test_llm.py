@@ -207,6 +207,42 @@ def test_simhash(spark, texts):
     assert simhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def similar_rows(rows, least=0.8):
+    """Brute force: the pairs of rows with a five-word Jaccard of at least ``least``, and the places that stay."""
+
+    def shingles(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and len(a & b) >= least * len(a | b) - 1e-9):
+                x, y = up[i], up[j]
+                up = [y if k == x else k for k in up]
+    return [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if up[k] == g) for g in set(up)]
+
+
+def test_similar_texts(spark, texts):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows = list(texts)
+    for i in range(40):
+        w = [f"s{i}w{r.randrange(300)}" for _ in range(100)]
+        rows.append((2000 + 10 * i, " ".join(w)))
+        for k in range(1, 4):  # k changed words: 96 shingles, 5 k of them other
+            v = list(w)
+            for at in range(k):
+                v[10 + 20 * at + k] = f"edit{i}x{k}"
+            rows.append((2000 + 10 * i + k, " ".join(v)))
+    base = [f"big{k}" for k in range(200)]
+    rows += [(5000 + k, " ".join([*base[:100], f"own{k}", *base[100:]])) for k in range(60)]
+    kept = corpus_pipeline.simhash_dedup(spark, docs_of(spark, rows), "").collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept) == sorted(similar_rows(rows))
+
+
 def test_vantage_points_find_all_pairs(spark):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 60).astype(np.uint64)
