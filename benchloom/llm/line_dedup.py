@@ -6,7 +6,7 @@ Inside a leaf, a token that few lines have at its place is a variable field too,
 a template; if too few constant tokens would be left, the line is a template by itself: with its fields if at
 least half of its tokens and letters are outside of them, else word for word, so rows of numbers and lines of texts
 without spaces recur only if they are equal.  A template that stands in enough documents recurs: it stays where it stands first - the smallest id, then the first line - and is
-dropped everywhere else.
+dropped everywhere else.  If asked for, long lines that are equal word for word recur from two documents on.
 
 Texts are shuffled twice (to find the leaves' lines, and to cut the documents); in between only hashes, counts
 and places move.  Hot lines and templates are summed before each shuffle.
@@ -25,6 +25,8 @@ from benchloom.llm.common import stored, table
 
 #: Leading tokens in the tree, documents that make a template recur, share of constant tokens.
 DEPTH, MIN_DOCS, SIMILARITY = 3, 10, 0.8
+#: Where long equal lines are asked for: their least number of words, and the documents that make one recur.
+LONG_WORDS, LONG_DOCS = 10, 2
 SPACE = r"[ \t\r\f]+"
 FIELD = "<*>"
 
@@ -116,6 +118,11 @@ def dropped_lines(
         .select("doc_id", "mark", "place", F.coalesce("template", "own").alias("template")),
         "templates",
     )
+    return _beyond_first(placed, min_docs).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drop"))
+
+
+def _beyond_first(placed: DataFrame, min_docs: int) -> DataFrame:
+    """The places of recurring templates (``doc_id``, ``mark``, ``place``, ``template``) but the first of each."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "place")
     recurring = (
         placed.groupBy("template", "doc_id", "mark")
@@ -125,19 +132,35 @@ def dropped_lines(
         .where(F.col("documents") >= min_docs)
         .select("template", "first")
     )
-    return (
-        placed.join(recurring, "template")
-        .where(place != F.col("first"))
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_set("place").alias("drop"))
-    )
+    return placed.join(recurring, "template").where(place != F.col("first")).select("doc_id", "mark", "place")
+
+
+def long_equal_lines(docs: DataFrame, words: int = LONG_WORDS, min_docs: int = LONG_DOCS) -> DataFrame:
+    """Places of the lines of at least ``words`` words that stand in ``min_docs`` documents, but the first of each."""
+    numbers = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = numbers.withColumn("line", tidied(F.col("line")))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    # Two hashes: a line goes only if both agree with another's.
+    template = F.struct(F.xxhash64("line"), F.xxhash64("line", F.lit(4)))
+    placed = stored(lines.where(n >= words).select("doc_id", "mark", "place", template.alias("template")), "long-lines")
+    return _beyond_first(placed, min_docs)
 
 
 def without_recurring_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    depth: int = DEPTH,
+    min_docs: int = MIN_DOCS,
+    similarity: float = SIMILARITY,
+    long_words: int | None = None,
 ) -> DataFrame:
-    """``docs`` with the recurring lines cut out of ``text``, and ``__lines`` and ``__dropped`` (counts)."""
-    drop = dropped_lines(docs, depth, min_docs, similarity).withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    """``docs`` with the recurring lines cut out of ``text``, and ``__lines`` and ``__dropped`` (counts).  With
+    ``long_words``, equal lines of so many words go from LONG_DOCS documents on."""
+    drop = dropped_lines(docs, depth, min_docs, similarity)
+    if long_words is not None:
+        places = drop.select("doc_id", "mark", F.explode("drop").alias("place"))
+        places = places.unionByName(long_equal_lines(docs, long_words))
+        drop = places.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drop"))
+    drop = drop.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
     own = F.xxhash64("text") == F.col("__mark")
     joined = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("__id")) & own, "left")
     lines = F.split("text", "\n")

@@ -471,6 +471,22 @@ def test_lines_of_fields_recur_only_if_equal(spark):
     assert got[20] == rows[12][1] and {got[20 + i] for i in range(1, 12)} == {""}
 
 
+def test_long_equal_lines_recur_from_two_documents(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" for i in range(60))
+    rows = [(i, f"{'own' * (i + 1)}\n{long}\nshort equal line") for i in range(9)] + [(40, long + "\n" + long), (41, None), (42, "")]
+    rows += [(50, "once twice\n" + long.upper() + "\n" + long.upper())]
+    cut = corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "")
+    got = {g["doc_id"]: g["text"] for g in cut.collect()}
+    assert got == {0: rows[0][1], 41: None, 42: "", 50: rows[-1][1]} | {
+        i: f"{'own' * (i + 1)}\nshort equal line" for i in range(1, 9)
+    }
+    # op1 keeps the ten documents of its SQL.
+    left = line_dedup.without_recurring_lines(docs_of(spark, rows[:9])).select("text").collect()
+    assert all(long in g["text"] for g in left)
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(60)]
