@@ -3,7 +3,7 @@
 Unit vectors are projected onto many random directions; a pair collides in a projection if one lies in the
 window of fixed width centred on the other.  The chance of a collision at the wanted cosine is known, so the
 count that a true pair reaches with the wanted recall follows from the binomial law.  Counting every pair would
-be quadratic.  Some projections are sorted and cut at their middle instead: a vector goes to its own half and,
+be quadratic.  Some projections are cut at 0 instead, without sorting: a vector goes to its own half and,
 if it lies within a margin above the cut, to the lower half too, so a close pair is apart only if it straddles
 the margin.  A table combines several such cuts into cells; as many tables are made as the recall asks for, and
 the number of cuts grows with the logarithm of the number of vectors.  Inside a cell, collisions over all projections
