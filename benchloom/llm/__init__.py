@@ -15,6 +15,9 @@ MODULES = [
     "pseudonyms",
     "simhash_dedup",
     "suffix_dedup",
+    "divergence_audit",
+    "centroid_clusters",
+    "source_mix",
 ]
 
 

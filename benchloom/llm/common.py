@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.session import materialize, ship
+from benchloom.session import new_path, ship
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,13 +21,27 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
 
     The shuffle files behind it are not needed any more, so Spark is told to delete them with the write.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str = "llm") -> tuple[DataFrame, str]:
+    """As ``stored``, with the folder, for a table that ``discard`` removes once nothing reads it any more."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
-        return materialize(df, name)
+        df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table of this module that the next one replaces."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scaled_parts(total: int, per_part: int, least: int = 1) -> int:
