@@ -24,51 +24,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchloom.llm.common import scaled_parts, stored, table
+from benchloom.llm.common import stored, table
 
 DOCS, TOP, SMOOTHING, UNIT = 30, 50, 5, 1_000_000_000
 #: Terms that a task counts before it hands them on.
-HELD = 300_000
-#: Rows of one part: of a skyband to be merged, and of terms for distances; sources in one block.
-BAND_ROWS, PART_ROWS, BLOCK = 100_000, 200_000, 256
+HELD = 600_000
+#: Rows of one part of a skyband to be merged; terms and sources of one part for distances.
+BAND_ROWS, PART_TERMS, BLOCK = 100_000, 1_000, 256
 #: Letters become small, other bytes below 128 become spaces, all others stay.
 LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 TERM_COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LETTERS).split(b" ")
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(LETTERS).split()
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by language and source; an empty term marks that the group occurs."""
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = 0
 
-    def rows() -> Iterator[pd.DataFrame]:
+    def rows() -> Iterator[pa.RecordBatch]:
         for (lang, source), (times, docs) in groups.items():
-            terms = list(times)
-            yield pd.DataFrame(
-                {
-                    "lang": lang,
-                    "source": source,
-                    "term": [t.decode("utf-8", "replace") for t in terms],
-                    "n": [times[t] for t in terms],
-                    "docs": [docs[t] for t in terms],
-                }
+            terms = [b"", *times]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.repeat(lang, len(terms)),
+                    pa.repeat(source, len(terms)),
+                    pa.array(terms, pa.binary()).cast(pa.string(), safe=False),
+                    pa.array([0, *times.values()], pa.int64()),
+                    pa.array([0, *map(docs.__getitem__, times)], pa.int64()),
+                ],
+                ["lang", "source", "term", "n", "docs"],
             )
 
-    for frame in frames:
-        for lang, source, text in zip(frame["lang"], frame["source"], frame["text"]):
-            times, docs = groups.setdefault((lang, source), (Counter({b"": 0}), Counter()))
-            own = Counter(terms_of(text))
-            own.pop(b"", None)
+    for batch in batches:
+        columns = [batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary())]
+        for lang, source, text in zip(*columns):
+            times, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            terms = terms_of(text.as_py())
             held -= len(times)
-            times.update(own)
-            docs.update(own.keys())
+            times.update(terms)
+            docs.update(set(terms))
             held += len(times)
             if held > HELD:
                 yield from rows()
@@ -78,7 +80,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     text = [F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    found = docs.select(*text).mapInPandas(_counted, TERM_COUNTS)
+    found = docs.select(*text).mapInArrow(_counted, TERM_COUNTS)
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -174,20 +176,19 @@ def _pair_sums(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": frame["lang"].iloc[0], "source": sources[left[x]], "item": sources[right[y]], "value": sums[x, y]})
 
 
-def pair_distances(rows: DataFrame, groups: DataFrame, part_rows: int, block: int) -> DataFrame:
+def pair_distances(rows: DataFrame, groups: DataFrame, part_terms: int, block: int) -> DataFrame:
     """``lang``, ``source``, ``item``, ``value`` for every ordered pair of sources of a language."""
-    here = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(here, scaled_parts(rows.count(), part_rows))
     blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     none = share(F.lit(0), F.col("total"), F.col("kept"))
     known = groups.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
-    known = stored(known.withColumn("none", F.when(F.col("kept") > 0, none).otherwise(0)), "groups")
-    part = F.pmod(F.xxhash64("term", F.lit(11)), F.lit(parts)).cast("int")
+    parts = F.ceil(F.col("kept") / part_terms).cast("int")
+    known = stored(known.withColumn("none", F.when(F.col("kept") > 0, none).otherwise(0)).withColumn("parts", parts), "groups")
+    part = F.pmod(F.xxhash64("term", F.lit(11)), F.col("parts")).cast("int")
     p = share(F.col("n"), F.col("total"), F.col("kept"))
     counted = rows.join(known, ["lang", "source"]).select("lang", "source", "block", "blocks", "term", p.alias("p"), part.alias("part"))
     marks = known.where("kept > 0").select(
         "lang", "source", "block", "blocks", F.lit(None).cast("string").alias("term"), F.col("none").alias("p"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = counted.unionByName(marks).withColumn("with", other)
@@ -207,7 +208,7 @@ def pair_distances(rows: DataFrame, groups: DataFrame, part_rows: int, block: in
 
 
 def divergence(
-    docs: DataFrame, least_docs: int = DOCS, top: int = TOP, part_rows: int = PART_ROWS, block: int = BLOCK, band_rows: int = BAND_ROWS
+    docs: DataFrame, least_docs: int = DOCS, top: int = TOP, part_terms: int = PART_TERMS, block: int = BLOCK, band_rows: int = BAND_ROWS
 ) -> DataFrame:
     """``lang``, ``source``, ``part`` (``pair`` or ``term``), ``item``, ``value``, ``rank`` for every group of ``docs``."""
     counts = stored(term_counts(docs), "counts")
@@ -219,7 +220,7 @@ def divergence(
     groups = counts.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = stored(groups.na.fill(0, ["total", "lang_total", "kept"]), "totals")
 
-    pairs = pair_distances(rows, groups, part_rows, block).withColumn("part", F.lit("pair"))
+    pairs = pair_distances(rows, groups, part_terms, block).withColumn("part", F.lit("pair"))
     own = share(F.col("n"), F.col("total"), F.col("kept"))
     of_lang = share(F.col("in_lang"), F.col("lang_total"), F.col("kept"))
     terms = merged_bands(rows, top, band_rows).join(groups, ["lang", "source"]).select(

@@ -69,7 +69,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_rows": 20, "block": 2, "band_rows": 7}])
+@pytest.mark.parametrize("sizes", [{}, {"part_terms": 3, "block": 2, "band_rows": 7}])
 def test_audit_equals_brute_force(spark, corpus, sizes):
     got = divergence_audit.divergence(docs_of(spark, corpus), least_docs=8, top=9, **sizes)
     assert audit_rows(got) == audit_by_hand(corpus, 8, 9)
@@ -84,13 +84,13 @@ def test_audit_of_few_and_no_rows(spark):
 
 def test_audit_flushes_counts(spark, corpus, monkeypatch):
     want = audit_by_hand(corpus, 8, 9)
-    frames = iter([docs_of(spark, corpus).select("lang", "source", "text").na.fill("").toPandas()])
+    batches = iter(docs_of(spark, corpus).select("lang", "source", "text").na.fill("").toArrow().to_batches())
     monkeypatch.setattr(divergence_audit, "HELD", 10)
-    parts = list(divergence_audit._counted(frames))
+    parts = list(divergence_audit._counted(batches))
     assert len(parts) > 100
     total = Counter()
     for p in parts:
-        for term, n in zip(p["term"], p["n"]):
+        for term, n in zip(p.column("term").to_pylist(), p.column("n").to_pylist()):
             total[term] += n
     assert total["wa" + "a"] == sum(len(re.findall(r"(?i)(?<![a-z\u0080-￿])waa(?![a-z\u0080-￿])", t or "")) for _, t, _, _ in corpus)
     assert want
