@@ -1,5 +1,7 @@
 """Streaming jobs over the event, label and document tables, each run until nothing is left."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from benchloom.plans.registry import query, r1, r2
@@ -7,9 +9,14 @@ from benchloom.functions.numbers import round2
 from benchloom.streaming import jobs
 
 
+def event_feed(t):
+    """The events as a stream that ends, and what ends it."""
+    feed = jobs.Feed(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
+    return jobs.with_event_time(feed.rows), feed
+
+
 def event_stream(t):
-    stream = jobs.read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
-    return jobs.with_event_time(stream)
+    return jobs.with_event_time(jobs.read_stream(t.spark, t.folder, t.events.schema, "events.parquet"))
 
 
 @query(
@@ -42,25 +49,24 @@ def _(t):
 
 
 def _sales(t):
-    return event_stream(t).select(
+    rows, feed = event_feed(t)
+    sales = rows.select(
         "ts",
         (F.col("event_id") % 1000).alias("input_tokens"),
         F.col("user_id").alias("output_tokens"),
         F.col("value").cast("decimal(18,6)").alias("earned"),
     )
-
-
-_FINAL = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+    return sales, feed
 
 
 @query(
     "stream_daily_sales",
     f"""SELECT strftime(d, '%Y-%m-%d') AS day, sum(event_id % 1000)::bigint AS input_tokens, sum(user_id)::bigint AS output_tokens,
-        {r2('sum(value::decimal(18,6))::double')} AS earned FROM (SELECT *, date_trunc('day', ts) AS d FROM events) GROUP BY d
-        HAVING d + INTERVAL 1 DAY <= {_FINAL}""",
+        {r2('sum(value::decimal(18,6))::double')} AS earned FROM (SELECT *, date_trunc('day', ts) AS d FROM events) GROUP BY d""",
 )
 def _(t):
-    got = jobs.run_to_files(jobs.daily_sales(_sales(t)), "daily")
+    sales, feed = _sales(t)
+    got = jobs.run_to_files(jobs.daily_sales(sales), "daily", feed)
     return got.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "input_tokens", "output_tokens", round2(F.col("earned").cast("double")).alias("earned")
     )
@@ -70,10 +76,11 @@ def _(t):
     "stream_recent_sales",
     f"""SELECT strftime(u, '%Y-%m-%d %H') AS until, count(*) AS requests, sum(user_id)::bigint AS output_tokens,
         {r2('sum(value::decimal(18,6))::double')} AS earned FROM (SELECT *, date_trunc('hour', ts) + INTERVAL (i) HOUR AS u FROM events,
-        range(1, 25) r(i)) GROUP BY u HAVING u <= {_FINAL}""",
+        range(1, 25) r(i)) GROUP BY u""",
 )
 def _(t):
-    got = jobs.run_to_files(jobs.recent_sales(_sales(t)), "recent")
+    sales, feed = _sales(t)
+    got = jobs.run_to_files(jobs.recent_sales(sales), "recent", feed)
     return got.select(
         F.date_format("until", "yyyy-MM-dd HH").alias("until"), "requests", "output_tokens", round2(F.col("earned").cast("double")).alias("earned")
     )
@@ -85,22 +92,22 @@ def _(t):
           WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         i AS (SELECT *, sum(new::int) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
         q AS (SELECT user_id, s, min(ms) AS st, min(ms) FILTER (WHERE event_type <> 'error') AS ft, max(ms) FILTER (WHERE event_type <>
-          'error') AS lt, max(ms) AS en, count(*) FILTER (WHERE event_type <> 'error') AS n, max(event_id % 100) AS p, min(ts) AS start,
-          max(ts) AS stop FROM i GROUP BY user_id, s)
+          'error') AS lt, max(ms) AS en, count(*) FILTER (WHERE event_type <> 'error') AS n, max(event_id % 100) AS p, min(ts) AS start FROM i GROUP BY user_id, s)
         SELECT user_id, epoch_us(start) AS start, n AS output_tokens, {r2('(ft - st)')} AS ttft_ms,
           CASE WHEN n > 1 AND lt - ft > 0 THEN {r1('((n - 1) / ((lt - ft) / 1000))')} WHEN en - coalesce(ft, st) > 0 AND n > 0 THEN
           {r1('(n / ((en - coalesce(ft, st)) / 1000))')} END AS tok_s_out,
           CASE WHEN ft - st > 0 AND p > 0 THEN {r1('(p / ((ft - st) / 1000))')} END AS tok_s_prefill
-        FROM q WHERE stop + INTERVAL 2 HOUR <= {_FINAL}""",
+        FROM q""",
 )
 def _(t):
-    tokens = event_stream(t).select(
+    rows, feed = event_feed(t)
+    tokens = rows.select(
         "user_id",
         "ts",
         F.when(F.col("event_type") != "error", "token").alias("kind"),
         (F.col("event_id") % 100).alias("prompt_tokens"),
     )
-    got = jobs.run_to_files(jobs.request_sessions(tokens, ["user_id"], "2 hours"), "requests")
+    got = jobs.run_to_files(jobs.request_sessions(tokens, ["user_id"], "2 hours"), "requests", feed)
     return got.select(
         "user_id",
         F.unix_micros("start").alias("start"),
@@ -111,10 +118,14 @@ def _(t):
     )
 
 
-@query("stream_dedupe_results", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "stream_dedupe_results",
+    "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(epoch_us(ts)) AS at FROM events GROUP BY user_id, event_type",
+)
 def _(t):
-    rows = event_stream(t).select("user_id", "event_type", "ts")
-    return jobs.run_to_files(jobs.dedupe_results(rows, ["user_id", "event_type"]), "dedupe").select("user_id", "event_type")
+    rows = event_stream(t).select("user_id", "event_type", "ts", "event_id")
+    got = jobs.run_updates(jobs.dedupe_results(rows, ["user_id", "event_type"]), ["user_id", "event_type"], "dedupe")
+    return got.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("at"))
 
 
 @query(
@@ -128,50 +139,99 @@ def _(t):
     return jobs.run_to_files(jobs.coverage_join(results, catalog, "doc_id"), "coverage")
 
 
+# A key that was silent for longer than this starts anew.
+_FORGET = timedelta(days=1)
+_MS = "ceil(epoch_us(ts) / 1000.0)"
+
+
+def _apart(key: str) -> str:
+    gap = f"{_MS} - lag({_MS}) OVER (PARTITION BY {key} ORDER BY ts, event_id)"
+    return f"coalesce({gap} > {_FORGET // timedelta(milliseconds=1)}, true)"
+
+
 @query(
     "stream_change_notices",
-    """WITH c AS (SELECT user_id AS listing, concat('m', event_id % 2) AS model, ts, event_id, CASE event_type WHEN 'error' THEN 'failed'
-         WHEN 'view' THEN 'warning' ELSE 'ok' END AS state FROM events),
-       p AS (SELECT *, lag(state) OVER (PARTITION BY listing, model ORDER BY ts, event_id) AS before FROM c)
-       SELECT listing, model, event_id, state FROM p WHERE state <> 'ok' AND state IS DISTINCT FROM before""",
+    f"""WITH c AS (SELECT user_id AS listing, concat('m', event_id % 2) AS model, ts, event_id, CASE event_type WHEN 'error' THEN 'failed'
+          WHEN 'view' THEN 'warning' ELSE 'ok' END AS state FROM events),
+        p AS (SELECT *, lag(state) OVER (PARTITION BY listing, model ORDER BY ts, event_id) AS before, {_apart("listing, model")} AS apart FROM c)
+        SELECT listing, model, event_id, state FROM p WHERE state <> 'ok' AND (apart OR state <> before)""",
 )
 def _(t):
+    rows, feed = event_feed(t)
     state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "warning").otherwise("ok")
-    checks = event_stream(t).select(
+    checks = rows.select(
         F.col("user_id").alias("listing"),
         F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("model"),
         "ts",
         "event_id",
         state.alias("state"),
     )
-    return jobs.run_to_files(jobs.change_notices(checks), "notices")
+    return jobs.run_to_files(jobs.change_notices(checks, forget=_FORGET), "notices", feed)
 
 
 @query(
     "stream_repeat_detector",
-    """WITH s AS (SELECT *, coalesce(event_type <> lag(event_type) OVER w, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER
-         BY ts, event_id)), i AS (SELECT *, sum(new::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM s),
-       n AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS repeats FROM i)
-       SELECT user_id AS run, event_id, repeats, CASE WHEN repeats >= 6 THEN 'stop' ELSE 'warn' END AS action FROM n WHERE repeats = 3 OR
-         repeats >= 6""",
+    f"""WITH s AS (SELECT *, coalesce(event_type <> lag(event_type) OVER w, true) OR {_apart("user_id")} AS new FROM events WINDOW w AS
+          (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(new::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g
+          FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS repeats FROM i)
+        SELECT user_id AS run, event_id, repeats, CASE WHEN repeats >= 6 THEN 'stop' ELSE 'warn' END AS action FROM n WHERE repeats = 3 OR
+          repeats >= 6""",
 )
 def _(t):
-    steps = event_stream(t).select(
+    rows, feed = event_feed(t)
+    steps = rows.select(
         F.col("user_id").alias("run"), "ts", "event_id", F.col("event_type").alias("command"), F.lit("out").alias("output")
     )
-    return jobs.run_to_files(jobs.repeat_detector(steps), "repeats")
+    return jobs.run_to_files(jobs.repeat_detector(steps, forget=_FORGET), "repeats", feed)
 
 
 @query(
     "stream_counter_delta",
-    """SELECT user_id AS source, event_id, coalesce(c < p, false) AS reset, CASE WHEN NOT coalesce(c < p, false) THEN c - p END AS delta FROM
-       (SELECT *, floor(value)::bigint AS c, lag(floor(value)::bigint) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)""",
+    f"""SELECT user_id AS source, event_id, coalesce(c < p, false) AS reset, CASE WHEN NOT coalesce(c < p, false) THEN c - p END AS delta FROM
+        (SELECT user_id, event_id, c, CASE WHEN NOT apart THEN b END AS p FROM (SELECT *, floor(value)::bigint AS c, lag(floor(value)::bigint)
+        OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, {_apart("user_id")} AS apart FROM events))""",
 )
 def _(t):
-    scrapes = event_stream(t).select(
+    rows, feed = event_feed(t)
+    scrapes = rows.select(
         F.col("user_id").alias("source"), "ts", "event_id", F.floor("value").cast("bigint").alias("counter")
     )
-    return jobs.run_to_files(jobs.counter_delta(scrapes), "deltas")
+    return jobs.run_to_files(jobs.counter_delta(scrapes, forget=_FORGET), "deltas", feed)
+
+
+# Records are stamped up to ten hours before they arrive.
+_STAMPED = "ts - INTERVAL (event_id * 37 % 11) HOUR"
+
+
+def _late_oracle(hours: int) -> str:
+    return f"""SELECT source, event_id, at_us, coalesce(ahead - at_us > {hours * 3_600_000_000}, false) AS late, greatest(coalesce(ahead - at_us, 0), 0)
+        AS behind FROM (SELECT *, max(at_us) OVER (PARTITION BY source ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead
+        FROM (SELECT user_id % 50 AS source, event_id, epoch_us({_STAMPED}) AS at_us FROM events))"""
+
+
+def _late(t, hours: int):
+    stamped = F.col("ts") - F.make_dt_interval(hours=(F.col("event_id") * 37 % 11).cast("int"))
+    rows = event_stream(t).select((F.col("user_id") % 50).alias("source"), "event_id", stamped.alias("ts"))
+    return jobs.run_to_files(jobs.mark_late(rows, timedelta(hours=hours)), "late", split_by=["late"])
+
+
+@query("stream_late_rows", _late_oracle(1))
+def _(t):
+    return _late(t, 1)
+
+
+@query("stream_late_rows_wide", _late_oracle(6))
+def _(t):
+    return _late(t, 6)
+
+
+@query(
+    "stream_late_counts",
+    f"""SELECT source, count(*) FILTER (WHERE NOT late) AS in_time, count(*) FILTER (WHERE late) AS late, max(behind) AS most_behind
+        FROM ({_late_oracle(6)}) GROUP BY source""",
+)
+def _(t):
+    return jobs.late_counts(_late(t, 6))
 
 
 @query("sink_status_log", "SELECT event_id, event_type AS event FROM events")

@@ -3,68 +3,101 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from benchloom.operators.measure import request_metrics
 from benchloom.session import new_path
-from benchloom.streaming.processors import ChangeNotices, CounterDelta, RepeatDetector
+from benchloom.streaming.processors import ChangeNotices, CounterDelta, LateRows, RepeatDetector
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
+#: No event is as late as this; a row with this time ends a stream.
+END = "9999-01-01 00:00:00"
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", per_batch: int = 1 << 30
+    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", per_batch: int = 1 << 27
 ) -> DataFrame:
-    """A folder of parquet files as a stream; a batch takes at most ``per_batch`` bytes of them, so a backlog
-    is worked off in bounded steps."""
+    """A folder of parquet files as a stream; a batch takes files of at most ``per_batch`` bytes (one at least), so a backlog
+    is worked off in bounded steps.  Results do not depend on it."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     return reader.option("maxBytesPerTrigger", per_batch).parquet(folder)
 
 
+class Feed:
+    """A folder of files as a stream that can be ended.
+
+    Windows, sessions and rows put aside come out when the watermark passes them, and the watermark follows the events; so what came
+    last would wait for ever.  ``end`` puts one row without values and with the time ``END`` beside the data, and the watermark
+    passes everything.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, schema: T.StructType, time: str, glob: str = "*.parquet", per_batch: int = 1 << 27
+    ):
+        self.spark, self.time = spark, time
+        self.last = spark.createDataFrame([], schema)
+        self.beside = new_path(spark, "feed-end")
+        self.last.write.parquet(self.beside)
+        data = read_stream(spark, folder, schema, glob, per_batch)
+        self.rows = data.unionByName(read_stream(spark, self.beside, schema))
+
+    def end(self) -> None:
+        row = self.spark.range(1).select(
+            *[(F.lit(END) if f.name == self.time else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.last.schema]
+        )
+        row.coalesce(1).write.mode("append").parquet(self.beside)
+
+
+def watermarked(df: DataFrame, late: str, time: str = "ts") -> DataFrame:
+    """``df`` with a watermark, without the row that ends it.  The filter names the event time, so Spark keeps it above the watermark."""
+    return df.withWatermark(time, late).where(F.col(time) < F.lit(END).cast("timestamp"))
+
+
 def with_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """Event time as a point in time (UTC session); a watermark does not take local times."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def run_to_files(df: DataFrame, name: str) -> DataFrame:
-    """Process everything available into files, each row once, and read them back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", path + "-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+def _run(writer: DataStreamWriter, path: str, feed: Feed | None) -> None:
+    """Process everything available; then end the feed, if there is one, and process what that releases."""
+    writer = writer.option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    if feed is not None:
+        feed.end()
+        writer.start().awaitTermination()
 
 
-def run_updates(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def run_to_files(df: DataFrame, name: str, feed: Feed | None = None, split_by: Sequence[str] = ()) -> DataFrame:
+    """Process everything available into files, each row once, and read them back; ``split_by`` gives each value of
+    these columns a folder of its own."""
+    path = new_path(df.sparkSession, name)
+    writer = df.writeStream.format("parquet").outputMode("append").option("path", path)
+    _run(writer.partitionBy(*split_by) if split_by else writer, path, feed)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_updates(df: DataFrame, keys: Sequence[str], name: str, feed: Feed | None = None) -> DataFrame:
     """Process everything available in update mode and read back the latest row of each key.
 
     Batches are written under their number, so a repeated batch replaces its own rows.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set(CHANGELOG, "true")
     path = new_path(spark, name)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = (
-        df.writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", path + "-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run(df.writeStream.outputMode("update").foreachBatch(store), path, feed)
     rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
     kept = F.struct(*[c for c in df.columns if c not in keys])
     return rows.groupBy(*keys).agg(F.max_by(kept, "batch").alias("_r")).select(*keys, "_r.*")
@@ -99,17 +132,23 @@ def run_state(events: DataFrame) -> DataFrame:
 
 def daily_sales(sales: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tokens and earnings per day; a day is final once the watermark has passed it."""
-    days = sales.withWatermark("ts", late).groupBy(F.window("ts", "1 day"))
+    days = watermarked(sales, late).groupBy(F.window("ts", "1 day"))
     return days.agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("earned").alias("earned")
     ).select(F.col("window.start").alias("day"), "input_tokens", "output_tokens", "earned")
 
 
 def recent_sales(sales: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Totals of the last 24 hours, renewed every hour."""
-    hours = sales.withWatermark("ts", late).groupBy(F.window("ts", "24 hours", "1 hour"))
-    return hours.agg(
+    """Totals of the last 24 hours, renewed every hour.
+
+    Sales are summed once per hour; the windows are made of at most one row an hour, whatever is sold.
+    """
+    hours = watermarked(sales, late).groupBy(F.window("ts", "1 hour").alias("hour")).agg(
         F.count(F.lit(1)).alias("requests"), F.sum("output_tokens").alias("output_tokens"), F.sum("earned").alias("earned")
+    )
+    windows = hours.groupBy(F.window(F.window_time("hour"), "24 hours", "1 hour"))
+    return windows.agg(
+        F.sum("requests").alias("requests"), F.sum("output_tokens").alias("output_tokens"), F.sum("earned").alias("earned")
     ).select(F.col("window.end").alias("until"), "requests", "output_tokens", "earned")
 
 
@@ -120,7 +159,7 @@ def request_sessions(tokens: DataFrame, keys: Sequence[str], gap: str = "1 hour"
     """
     ms = F.unix_micros("ts") / 1000
     token = F.when(F.col("kind") == "token", ms)
-    sessions = tokens.withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap))
+    sessions = watermarked(tokens, late).groupBy(*keys, F.session_window("ts", gap))
     rows = sessions.agg(
         F.min(ms).alias("started"),
         F.min(token).alias("first_token"),
@@ -132,9 +171,13 @@ def request_sessions(tokens: DataFrame, keys: Sequence[str], gap: str = "1 hour"
     return request_metrics(rows.withColumn("start", F.col("session_window.start")).drop("session_window"))
 
 
-def dedupe_results(results: DataFrame, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """One result per question within the watermark, whatever is sent again."""
-    return results.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+def dedupe_results(results: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """The newest result of each question, however long after the first it was sent again.
+
+    One row of state per question, which does not expire; run it with ``run_updates``.  Equal places in the order are one row.
+    """
+    newest = F.max(F.struct(*order, *[c for c in results.columns if c not in (*keys, *order)])).alias("_newest")
+    return results.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
 def coverage_join(results: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
@@ -145,26 +188,49 @@ def coverage_join(results: DataFrame, catalog: DataFrame, key: str) -> DataFrame
 # ---------------------------------------------------------------- state per key
 
 
-def _stateful(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def _stateful(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str, time: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    df.sparkSession.conf.set(CHANGELOG, "true")
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time
     )
 
 
-def change_notices(checks: DataFrame) -> DataFrame:
-    """Notices of (listing, model, ts, event_id, state): once per change, not on every refresh."""
-    return _stateful(
-        checks, ["listing", "model"], ChangeNotices(), "listing long, model string, event_id long, state string"
-    )
+def _ms(span: timedelta) -> int:
+    return span // timedelta(milliseconds=1)
+
 
+def change_notices(checks: DataFrame, late: str = "1 hour", forget: timedelta = timedelta(days=30)) -> DataFrame:
+    """Notices of (listing, model, ts, event_id, state): once per change, not on every refresh.  A listing that was silent for
+    longer than ``forget`` starts anew."""
+    schema = "listing long, model string, event_id long, state string"
+    return _stateful(watermarked(checks, late), ["listing", "model"], ChangeNotices(_ms(forget)), schema, "EventTime")
 
-def repeat_detector(steps: DataFrame) -> DataFrame:
-    """Warnings and stops of (run, ts, event_id, command, output)."""
-    rows = steps.withColumn("print", F.sha2(F.concat("command", F.lit("\0"), "output"), 256)).drop("command", "output")
-    return _stateful(rows, ["run"], RepeatDetector(), "run long, event_id long, repeats long, action string")
 
+def repeat_detector(steps: DataFrame, late: str = "1 hour", forget: timedelta = timedelta(days=1)) -> DataFrame:
+    """Warnings and stops of (run, ts, event_id, command, output); a run that rested for longer than ``forget`` starts anew."""
+    rows = watermarked(steps, late)
+    rows = rows.withColumn("print", F.sha2(F.concat("command", F.lit("\0"), "output"), 256)).drop("command", "output")
+    return _stateful(rows, ["run"], RepeatDetector(_ms(forget)), "run long, event_id long, repeats long, action string", "EventTime")
 
-def counter_delta(scrapes: DataFrame) -> DataFrame:
-    """Growth per scrape of (source, ts, event_id, counter)."""
-    return _stateful(scrapes, ["source"], CounterDelta(), "source long, event_id long, reset boolean, delta long")
+
+def counter_delta(scrapes: DataFrame, late: str = "1 hour", forget: timedelta = timedelta(days=7)) -> DataFrame:
+    """Growth per scrape of (source, ts, event_id, counter); a source without a scrape for longer than ``forget`` starts anew."""
+    schema = "source long, event_id long, reset boolean, delta long"
+    return _stateful(watermarked(scrapes, late), ["source"], CounterDelta(_ms(forget)), schema, "EventTime")
+
+
+def mark_late(rows: DataFrame, lateness: timedelta) -> DataFrame:
+    """Rows (source, event_id in arrival order, ts) as ``source``, ``event_id``, ``at_us``, ``late`` and ``behind``:
+    how far the source's clock was ahead.  Nothing is dropped: write them with ``split_by=["late"]`` for one output each.
+    """
+    known = rows.where(F.col("ts") < F.lit(END).cast("timestamp")).select("source", "event_id", F.unix_micros("ts").alias("at_us"))
+    schema = "source long, event_id long, at_us long, late boolean, behind long"
+    return _stateful(known, ["source"], LateRows(lateness // timedelta(microseconds=1)), schema, "None")
+
+
+def late_counts(marked: DataFrame) -> DataFrame:
+    """Rows in time, rows late and the largest delay in microseconds per source."""
+    return marked.groupBy("source").agg(
+        F.count_if(~F.col("late")).alias("in_time"), F.count_if("late").alias("late"), F.max("behind").alias("most_behind")
+    )
