@@ -155,13 +155,8 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     )
 
 
-def iteration_summary(requests: DataFrame, run: str = "run", iteration: str = "iteration") -> DataFrame:
-    """Medians of a run over its requests and iterations.
-
-    Requests give time to first token and prefill rate; an iteration gives the total rate over its whole
-    window and, with several requests, the decode rate from its first token to its end.
-    """
-    rows = request_metrics(requests)
+def _iterations(rows: DataFrame, run: str, iteration: str) -> DataFrame:
+    """``tok_s_out`` and ``tok_s_total`` of each iteration, and its number ``n`` of requests."""
     groups = rows.groupBy(run, iteration).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("started").alias("s"),
@@ -174,18 +169,28 @@ def iteration_summary(requests: DataFrame, run: str = "run", iteration: str = "i
     window = F.col("e") - F.coalesce("f", "s")
     shared = F.when(window > 0, round1(F.col("o") / (window / 1000)))
     whole = F.col("e") - F.col("s")
-    iterations = groups.select(
+    return groups.select(
         run,
+        "n",
         F.when(F.col("n") > 1, shared).otherwise(F.col("one")).alias("tok_s_out"),
         F.when(whole > 0, round1((F.col("p") + F.col("o")) / (whole / 1000))).alias("tok_s_total"),
     )
 
-    def long(df: DataFrame, names: Sequence[str]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])
-        return df.select(run, F.explode(pairs).alias("x")).select(run, "x.metric", "x.v")
 
-    values = long(rows, ["ttft_ms", "tok_s_prefill", "output_tokens", "prompt_tokens"]).unionByName(
-        long(iterations, ["tok_s_out", "tok_s_total"])
+def _long_metrics(df: DataFrame, run: str, names: Sequence[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])
+    return df.select(run, F.explode(pairs).alias("x")).select(run, "x.metric", "x.v")
+
+
+def iteration_summary(requests: DataFrame, run: str = "run", iteration: str = "iteration") -> DataFrame:
+    """Medians of a run over its requests and iterations.
+
+    Requests give time to first token and prefill rate; an iteration gives the total rate over its whole
+    window and, with several requests, the decode rate from its first token to its end.
+    """
+    rows = request_metrics(requests)
+    values = _long_metrics(rows, run, ["ttft_ms", "tok_s_prefill", "output_tokens", "prompt_tokens"]).unionByName(
+        _long_metrics(_iterations(rows, run, iteration), run, ["tok_s_out", "tok_s_total"])
     )
     medians = exact_percentiles(values, [run, "metric"], "v", {"p50": 0.5})
     names = ["ttft_ms", "tok_s_prefill", "tok_s_out", "tok_s_total", "output_tokens", "prompt_tokens"]
@@ -198,6 +203,29 @@ def iteration_summary(requests: DataFrame, run: str = "run", iteration: str = "i
     )
 
 
+def sample_statistics(requests: DataFrame, run: str = "run", iteration: str = "iteration") -> DataFrame:
+    """Count, min, p50, mean, max and sample deviation of the samples behind a run's medians, a row per metric.
+
+    Only runs with several iterations, or several requests in one, have statistics.  A metric without a value
+    has the count 0 and nothing else.
+    """
+    rows = request_metrics(requests)
+    iterations = _iterations(rows, run, iteration)
+    several = iterations.groupBy(run).agg(F.count(F.lit(1)).alias("i"), F.max("n").alias("r")).where("i > 1 OR r > 1").select(run)
+    values = _long_metrics(rows, run, ["ttft_ms"]).unionByName(_long_metrics(iterations, run, ["tok_s_out", "tok_s_total"]))
+    basic = values.groupBy(run, "metric").agg(
+        F.count("v").alias("count"),
+        round2(F.min("v")).alias("min"),
+        round2(F.avg("v")).alias("mean"),
+        round2(F.max("v")).alias("max"),
+        F.when(F.count("v") > 1, round2(F.stddev_samp("v"))).alias("stddev"),
+    )
+    middle = exact_percentiles(values, [run, "metric"], "v", {"p50": 0.5}).select(run, "metric", round2(F.col("p50")).alias("p50"))
+    return basic.join(several, run).join(middle, [run, "metric"], "left").select(
+        run, "metric", "count", "min", "p50", "mean", "max", "stddev"
+    )
+
+
 def context_sweep(points: DataFrame, by: Sequence[str], level: str, levels: Sequence[int]) -> DataFrame:
     """Decode rate and time to first token per context level, one row per group and one column per level."""
     chosen = points.where(F.col(level).isin(*levels))
@@ -218,10 +246,14 @@ def context_sweep(points: DataFrame, by: Sequence[str], level: str, levels: Sequ
 
 
 def matrix_summary(cells: DataFrame) -> DataFrame:
-    """Rate by context and concurrency with totals rows (null stands for all)."""
-    return cells.cube("phase", "context", "concurrency").agg(
-        F.count(F.lit(1)).alias("cells"), round2(F.max("aggregate_tps")).alias("best_tps")
-    ).where(F.col("phase").isNotNull())
+    """Rate by context and concurrency with totals rows (null stands for all).
+
+    Cells are summed once; the totals are made of those sums.
+    """
+    sums = cells.groupBy("phase", "context", "concurrency").agg(F.count(F.lit(1)).alias("n"), F.max("aggregate_tps").alias("best"))
+    sets = [[F.col("phase"), *rest] for rest in ([], [F.col("context")], [F.col("concurrency")], [F.col("context"), F.col("concurrency")])]
+    totals = sums.groupingSets(sets, "phase", "context", "concurrency")
+    return totals.agg(F.sum("n").alias("cells"), round2(F.max("best")).alias("best_tps"))
 
 
 # ---------------------------------------------------------------- engine evidence

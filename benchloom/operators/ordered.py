@@ -119,54 +119,83 @@ def lookup_by_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-# Up to this many distinct values a group's value counts fit one task with ease.
-SMALL_GROUP = 1_000_000
+def _as_ordered_long(value: Column) -> Column:
+    """A double as the whole number of 64 bits that has the same place in the order (NaN comes last, as in a sort)."""
+    # Adding zero makes one number of the two zeros.
+    plain = value.cast("double") + F.lit(0.0)
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], small_group: int = SMALL_GROUP
-) -> DataFrame:
+def _from_ordered_long(number: Column) -> Column:
+    bits = F.when(number >= 0, number).otherwise(number.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+# Bits of the middle and of the low digit of a number; its high digit has the other 22: values that differ by 0.1 % or less share it.
+MIDDLE, LOW = 21, 21
+# So many cells of wanted values are sent to the rows, 8 bytes each.
+FEW_CELLS = 256
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Per key: the count ``n`` and linearly interpolated percentiles, exact for groups of any size.
 
-    Equal values are counted before the shuffle and the counts stored.  While every group has few
-    distinct values they are ranked inside the group; if one has more, all are ranked over a sort of
-    the whole table, so no task ever holds a large group.
+    Values are selected by digits of order-preserving whole numbers.  A first pass counts high digits; they tell in which cell
+    - key and high digit - each wanted value lies.  A second pass counts the values of those cells only, by middle and by low digit.
+    The cells are a filter on the second scan when they are few, which Spark finds out while it runs; else the counts meet them
+    in a join.  All counts are summed before they are moved, ranks are taken over counts of digits, and nothing is stored, so
+    neither a key with a third of all rows nor one with all values different is ever put together in one task.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = materialize(counted, "counts")
-    widest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
-    if (widest or 0) <= small_group:
-        found = counts.groupBy(*keys).agg(
-            F.sum("_n").alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in points.values()]), F.col("_n")).alias("_p")
-        )
-        found = found.where(F.col("n").isNotNull()) if not keys else found
-        return found.select(*keys, "n", *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
-    return _sorted_percentiles(counts, keys, value, points)
-
-
-def _sorted_percentiles(counts: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    ranked = with_running_sum(as_sequence(counts, keys, [value]), keys, "_n", "_upto_n")
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "n")
-    on = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
-    # One row per key on the right; a hot key on the left is split by the adaptive skew join.
-    rows = ranked.join(renamed, on, "inner") if keys else ranked.join(F.broadcast(renamed))
-
-    picks, wanted = [], F.lit(False)
-    for name, point in points.items():
-        rank = F.lit(float(point)) * (F.col("n") - 1)
-        for side, place in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            here = (place < F.col("_upto_n")) & (place >= F.col("_upto_n") - F.col("_n"))
-            wanted = wanted | here
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{side}_{name}"))
-    found = rows.where(wanted).groupBy(*keys).agg(F.first("n").alias("n"), *picks)
-    for name, point in points.items():
-        rank = F.lit(float(point)) * (F.col("n") - 1)
-        weight = rank - F.floor(rank)
-        found = found.withColumn(
-            name,
-            F.when(weight == 0, F.col(f"_lo_{name}")).otherwise(
-                F.col(f"_lo_{name}") * (1 - weight) + F.col(f"_hi_{name}") * weight
-            ),
-        )
-    return found.select(*keys, "n", *points)
+    names = [f"_k{i}" for i in range(len(keys))]
+    number = _as_ordered_long(F.col(value))
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], number.alias("_u"))
+    high, middle, low = (
+        F.shiftright("_u", MIDDLE + LOW),
+        F.shiftright("_u", LOW).bitwiseAND(F.lit((1 << MIDDLE) - 1)),
+        F.col("_u").bitwiseAND(F.lit((1 << LOW) - 1)),
+    )
+
+    # High digits: their counts give the count of the key, and with it the wanted places (two for each percentile).
+    cells = rows.groupBy(*names, high.alias("_high")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*names).orderBy("_high").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("n", F.sum("_c").over(Window.partitionBy(*names))).withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+    rank = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    places = [
+        F.struct(F.lit(2 * i + side).alias("place"), to_whole(rank(p)).cast("long").alias("rank"))
+        for i, p in enumerate(points.values())
+        for side, to_whole in ((0, F.floor), (1, F.ceil))
+    ]
+    here = F.filter(F.array(*places), lambda x: (x["rank"] >= F.col("_before")) & (x["rank"] < F.col("_before") + F.col("_c")))
+    wanted = cells.withColumn("_x", F.explode(here)).select(
+        *names, "_high", "n", F.col("_x.place").alias("_place"), (F.col("_x.rank") - F.col("_before")).alias("_rank")
+    )
+
+    cell = F.xxhash64(*names, "_high")
+    few = wanted.select(cell.alias("_cell")).distinct().limit(FEW_CELLS + 1).agg(F.collect_list("_cell").alias("_cells"))
+    few = few.select(F.when(F.size("_cells") <= FEW_CELLS, F.col("_cells"))).scalar()
+    inside = rows.withColumn("_high", high).where(F.coalesce(F.array_contains(few, cell), F.lit(True)))
+    counts = inside.groupBy(*names, "_high", middle.alias("_middle"), low.alias("_low")).agg(F.count(F.lit(1)).alias("_c"))
+
+    def chosen(sums: DataFrame, wanted: DataFrame, by: list[str], digit: str) -> DataFrame:
+        """The digit in which each wanted place lies, and its rank there."""
+        on = [F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by]
+        met = sums.alias("s").join(wanted.alias("w"), on).select(*[F.col(f"s.{c}").alias(c) for c in by], digit, "_c", "n", "_place", "_rank")
+        upto = Window.partitionBy(*names, "_place").orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+        met = met.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+        met = met.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+        return met.select(*by, digit, "n", "_place", (F.col("_rank") - F.col("_before")).alias("_rank"))
+
+    by = [*names, "_high"]
+    wanted = chosen(counts.groupBy(*by, "_middle").agg(F.sum("_c").alias("_c")), wanted, by, "_middle")
+    wanted = chosen(counts, wanted, [*by, "_middle"], "_low")
+    whole = F.shiftleft("_high", MIDDLE + LOW) + F.shiftleft("_middle", LOW) + F.col("_low")
+    found = wanted.withColumn("_v", _from_ordered_long(whole))
+    at = lambda place: F.max(F.when(F.col("_place") == place, F.col("_v")))
+    wide = found.groupBy(*names).agg(F.max("n").alias("n"), *[at(j).alias(f"_v{j}") for j in range(2 * len(points))])
+    wide = wide.where(F.col("n").isNotNull())
+    result = [F.col(n).alias(k) for k, n in zip(keys, names)] + [F.col("n")]
+    for i, (name, p) in enumerate(points.items()):
+        below, above, weight = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}"), rank(p) - F.floor(rank(p))
+        result.append(F.when(weight == 0, below).otherwise(below * (1 - weight) + above * weight).alias(name))
+    return wide.select(*result)

@@ -182,6 +182,23 @@ def _(t):
     return ops.iteration_summary(_requests(t))
 
 
+@query(
+    "sample_statistics",
+    f"""WITH q AS ({_RATED}),
+        g AS (SELECT run, iteration, count(*) AS n, min(started) AS s, max(completed) AS e, min(first_token) AS f,
+          sum(output_tokens) AS o, sum(prompt_tokens) AS p, max(tok_s_out) AS one FROM q GROUP BY ALL),
+        i AS (SELECT run, n, CASE WHEN n > 1 THEN CASE WHEN e - coalesce(f, s) > 0 THEN {r1('(o / ((e - coalesce(f, s)) / 1000))')} END
+          ELSE one END AS tok_s_out, CASE WHEN e - s > 0 THEN {r1('((p + o) / ((e - s) / 1000))')} END AS tok_s_total FROM g),
+        v AS (SELECT run, 'ttft_ms' AS metric, ttft_ms::double AS v FROM q UNION ALL SELECT run, 'tok_s_out', tok_s_out FROM i UNION ALL
+          SELECT run, 'tok_s_total', tok_s_total FROM i)
+        SELECT run, metric, count(v) AS count, {r2('min(v)')} AS min, {r2(pct('v', 0.5))} AS p50, {r2('avg(v)')} AS mean, {r2('max(v)')} AS max,
+          CASE WHEN count(v) > 1 THEN {r2('stddev_samp(v)')} END AS stddev FROM v WHERE run IN (SELECT run FROM i GROUP BY run HAVING
+          count(*) > 1 OR max(n) > 1) GROUP BY run, metric""",
+)
+def _(t):
+    return ops.sample_statistics(_requests(t))
+
+
 def _points(t):
     return t.lineitem.select(
         (F.col("l_suppkey") % 5).alias("model"),

@@ -1,9 +1,13 @@
 """Ordered work over slices: equal to plain windows, with a key that holds most rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from benchloom.operators import ordered
 from benchloom.operators.measure import last_seen, with_runs
 from benchloom.operators.ordered import (
     as_sequence,
@@ -79,10 +83,9 @@ def test_islands(skewed):
     same(got, islands.groupBy("k", "island").agg(F.count("*").alias("n"), F.min("id").alias("a")))
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_percentiles(skewed, small_group):
-    rows = skewed.withColumn("x", (F.col("v") / 7).cast("double"))
-    got = exact_percentiles(rows, ["k"], "x", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}, small_group)
+def test_percentiles(skewed):
+    rows = skewed.withColumn("x", ((F.col("v") - 40) / 7).cast("double"))
+    got = exact_percentiles(rows, ["k"], "x", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0})
     want = rows.groupBy("k").agg(
         F.count("*").alias("n"), *[F.percentile("x", p).alias(n) for n, p in (("a", 0.0), ("b", 0.5), ("c", 0.95), ("d", 1.0))]
     )
@@ -95,11 +98,40 @@ def test_percentiles(skewed, small_group):
             assert left[k][n] == pytest.approx(r[n], abs=1e-9)
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_percentile_of_everything(spark, small_group):
+def test_percentiles_of_odd_numbers(spark):
+    """Any doubles, null keys and values, single rows, equal values: as a sort has them."""
+    r = random.Random(8)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, math.inf, -math.inf, 1.0, math.nextafter(1.0, 2.0), -1.5, 2.0**53, 1 / 3]
+    rows = [(r.choice(["a", "b", None]), r.choice(odd)) for _ in range(60)] + [("one", -7.25), ("same", 2.5), ("same", 2.5), ("none", None)]
+    got = exact_percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"p": 0.25, "q": 2 / 3}).collect()
+    groups = {}
+    for k, x in rows:
+        if x is not None:
+            groups.setdefault(k, []).append(x)
+    assert {g.k for g in got} == set(groups)
+    for g in got:
+        xs = sorted(groups[g.k])
+        for p, found in ((0.25, g.p), (2 / 3, g.q)):
+            rank = p * (len(xs) - 1)
+            low, high, weight = xs[math.floor(rank)], xs[math.ceil(rank)], rank - math.floor(rank)
+            want = low if weight == 0 else low * (1 - weight) + high * weight
+            assert found == want or math.isnan(found) and math.isnan(want)
+
+
+def test_percentile_of_everything(spark):
     rows = spark.range(101).select(F.col("id").cast("double").alias("x"))
-    row = exact_percentiles(rows, [], "x", {"p": 0.25}, small_group).first()
+    row = exact_percentiles(rows, [], "x", {"p": 0.25}).first()
     assert (row.n, row.p) == (101, 25.0)
+    assert exact_percentiles(rows.where("x < 0"), [], "x", {"p": 0.25}).count() == 0
+
+
+@pytest.mark.parametrize("few", [ordered.FEW_CELLS, 0])
+def test_percentiles_with_and_without_the_filter(skewed, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW_CELLS", few)
+    rows = skewed.withColumn("x", F.sin("id") * 10)
+    got = exact_percentiles(rows, ["k"], "x", {"p": 0.9})
+    want = rows.groupBy("k").agg(F.percentile("x", 0.9).alias("p"))
+    same(got.select("k", F.round("p", 9)), want.select("k", F.round("p", 9)))
 
 
 @pytest.mark.parametrize("hot_rows", [1, 5000, 10**9])
