@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from benchloom.functions import naming
-from benchloom.functions.text import strip
+from benchloom.functions.text import collapsed_text, strip
 
 
 def candidate_task_type(stated: Column, question: Column) -> Column:
@@ -158,24 +160,88 @@ def _segments(text: Column, length: Column, at: Column, parts: int) -> tuple[Col
     return start.cast("int"), (base + F.when(at < longer, 1).otherwise(0)).cast("int")
 
 
+#: Words up to this length are indexed by what is left of them without a few letters, longer ones by pieces.
+SHORT_WORD = 12
+
+
+def _deletions(texts: DataFrame, text: str, reach: int) -> DataFrame:
+    """Every text with up to ``reach`` letters deleted: ``_kept``, and ``_marks``, which tell where the deleted ones stood.
+
+    A deleted letter with g kept ones before it has the mark g * (reach + 1), plus one for each deleted before it in the same gap.
+    """
+    base = reach + 1
+    size = F.char_length(text)
+    none = F.array().cast("array<int>")
+    level = texts.select(text, F.lit("").alias("_done"), F.lit(0).alias("_at"), none.alias("_marks"))
+    found = None
+    for k in range(reach + 1):
+        rest = F.col(text).substr(F.col("_at") + 1, size)
+        here = level.select(text, F.concat("_done", rest).alias("_kept"), "_marks")
+        found = here if found is None else found.unionByName(here)
+        if k == reach:
+            break
+        # The next letter to go lies behind the ones that went before.
+        level = level.where(F.col("_at") < size).withColumn("_p", F.explode(F.sequence(F.col("_at") + 1, size)))
+        gap = (F.col("_p") - 1 - k) * base
+        last = F.element_at("_marks", -1) if k else F.lit(None)
+        same = F.coalesce(F.floor(last / base).cast("int") * base == gap, F.lit(False))
+        mark = F.when(same, last + 1).otherwise(gap).cast("int")
+        level = level.select(
+            text,
+            F.concat("_done", F.col(text).substr(F.col("_at") + 1, F.col("_p") - 1 - F.col("_at"))).alias("_done"),
+            F.col("_p").alias("_at"),
+            F.concat("_marks", F.array(mark)).alias("_marks"),
+        )
+    return found
+
+
+def _near_short(asked: DataFrame, words: DataFrame, reach: int) -> DataFrame:
+    """``_label``, ``_d``, ``_word``: labels with the short words at most ``reach`` edits away.
+
+    Two texts that keep the same letters differ by no more edits than gaps between those letters hold deleted ones, counted on the
+    fuller side of each gap, and the edit distance is the least of these numbers.  It depends on the marks only, so the index
+    needs just the first word for each kept text and marks: a key has a few hundred rows at most, however many words share it.
+    """
+    index = (
+        _deletions(words.where(F.char_length("_word") <= SHORT_WORD), "_word", reach)
+        .groupBy("_kept", F.col("_marks").alias("_w"))
+        .agg(F.min("_word").alias("_word"))
+    )
+    sought = _deletions(asked.where(F.char_length("_label") <= SHORT_WORD + reach), "_label", reach)
+    pairs = sought.join(index, "_kept").withColumn("_d", F.size(F.array_union("_marks", "_w")))
+    return pairs.where(F.col("_d") <= reach).select("_label", "_d", "_word")
+
+
 def nearest_vocab(labels: DataFrame, vocabulary: DataFrame, label: str, word: str, below: int = 4) -> DataFrame:
     """Closest vocabulary word of each label with an edit distance below ``below`` (ties: first by name).
 
-    A word cut into ``below`` pieces keeps at least one piece unchanged within ``below - 1`` edits,
-    moved by at most as many places.  So words are indexed by (length, piece number, piece) and labels
-    look up every piece they could share: equal keys instead of all pairs, with nothing lost.
+    Short words are found through deleted letters.  A longer word cut into ``below`` pieces keeps at least one piece unchanged
+    within ``below - 1`` edits, moved by at most as many places; such words are indexed by (length, piece number, piece) and
+    labels look up every piece they could share.  Equal keys instead of all pairs, with nothing lost.
     """
     reach = below - 1
     words = vocabulary.select(F.col(word).alias("_word")).where("_word is not null").distinct()
+    asked = labels.select(F.col(label).alias("_label")).where("_label is not null").distinct()
+    near = _near_short(asked, words, reach).unionByName(_near_long(asked, words, below))
+    return (
+        near.groupBy("_label")
+        .agg(F.min(F.struct(F.col("_d"), F.col("_word"))).alias("b"))
+        .select(F.col("_label").alias(label), F.col("b._word").alias("nearest"), F.col("b._d").alias("distance"))
+    )
+
+
+def _near_long(asked: DataFrame, words: DataFrame, below: int) -> DataFrame:
+    reach = below - 1
+    words = words.where(F.char_length("_word") > SHORT_WORD)
     pieces = words.select("_word", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_at"))
     length = F.char_length("_word")
     start, size = _segments(F.col("_word"), length, F.col("_at"), below)
     pieces = pieces.select("_word", "_at", length.alias("_len"), F.substring("_word", start, size).alias("_piece"))
 
-    asked = labels.select(F.col(label).alias("_label")).where("_label is not null").distinct()
     size_of = F.char_length("_label")
+    asked = asked.where(size_of > SHORT_WORD - reach)
     asked = asked.select(
-        "_label", F.explode(F.sequence(F.greatest(size_of - reach, F.lit(0)), size_of + reach)).alias("_len")
+        "_label", F.explode(F.sequence(F.greatest(size_of - reach, F.lit(SHORT_WORD + 1)), size_of + reach)).alias("_len")
     ).select("_label", "_len", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_at"))
     start, size = _segments(F.col("_label"), F.col("_len"), F.col("_at"), below)
     asked = asked.withColumn("_start", start).withColumn("_size", size)
@@ -185,21 +251,69 @@ def nearest_vocab(labels: DataFrame, vocabulary: DataFrame, label: str, word: st
         "_at",
         "_size",
         F.explode(F.sequence(F.greatest(F.col("_start") - reach, F.lit(1)), F.col("_start") + reach)).alias("_from"),
-    ).where((F.col("_size") == 0) | (F.col("_from") + F.col("_size") - 1 <= F.char_length("_label")))
+    ).where(F.col("_from") + F.col("_size") - 1 <= F.char_length("_label"))
     asked = asked.select(
         "_label", "_len", "_at", F.substring(F.col("_label"), F.col("_from"), F.col("_size")).alias("_piece")
     ).distinct()
+    pairs = asked.join(pieces, ["_len", "_at", "_piece"]).withColumn("_d", F.levenshtein("_label", "_word", reach))
+    return pairs.where(F.col("_d") >= 0).select("_label", "_d", "_word")
 
-    pairs = asked.join(pieces, ["_len", "_at", "_piece"]).withColumn(
-        "_d", F.levenshtein("_label", "_word", below - 1)
-    )
-    best = (
-        pairs.where(F.col("_d") >= 0)
-        .groupBy("_label")
-        .agg(F.min(F.struct(F.col("_d"), F.col("_word"))).alias("b"))
-        .select(F.col("_label").alias(label), F.col("b._word").alias("nearest"), F.col("b._d").alias("distance"))
-    )
-    return best
+
+#: Bytes of patterns that one scan of the documents looks for; a worker holds an automaton of about a hundred times that.
+PATTERN_BYTES = 1 << 20
+
+
+def texts_within(
+    documents: DataFrame, patterns: DataFrame, document: str, text: str, key: str, pattern: str,
+    least_bytes: int = 4, scan_bytes: int = PATTERN_BYTES,
+) -> DataFrame:
+    """Every pattern that stands anywhere in a document's text, case and outer white space of the pattern ignored: ``document``,
+    ``key`` and ``at``, the place of its first occurrence in characters from 1.
+
+    A scan looks for one chunk of patterns of bounded size at once, with an automaton of all of them, so a document's text is read once
+    and never moved, whatever the lengths of the patterns and however many of them occur; more patterns take more scans.
+    A pattern that stands in a third of all documents is found where they lie.  Patterns below ``least_bytes`` bytes, and
+    null texts, are never found; equal patterns are looked for once.
+    """
+    named = patterns.select(key, F.lower(strip(F.col(pattern))).alias("_pattern")).where(F.octet_length("_pattern") >= least_bytes)
+    wanted = named.select("_pattern", F.sha2("_pattern", 256).alias("_name")).distinct()
+    total = wanted.agg(F.coalesce(F.sum(F.octet_length("_pattern")), F.lit(0))).first()[0]
+    chunks = -(-total // scan_bytes)
+    context, found = documents.sparkSession.sparkContext, None
+    rows = documents.select(document, F.lower(text).alias("_text")).where("_text IS NOT NULL")
+    schema = T.StructType([rows.schema[document], T.StructField("_name", T.StringType()), T.StructField("at", T.IntegerType())])
+    for i in range(max(1, chunks)):
+        mine = wanted.where(F.pmod(F.xxhash64("_pattern"), F.lit(max(1, chunks))) == i)
+        # Of a bounded size: about ``scan_bytes`` of text.
+        sent = context.broadcast([(r["_pattern"], r["_name"]) for r in mine.toLocalIterator()])
+        here = rows.mapInPandas(_finder(sent, document), schema)
+        found = here if found is None else found.unionByName(here)
+    names = named.select(key, F.sha2("_pattern", 256).alias("_name"))
+    return found.join(names, "_name").select(document, key, "at")
+
+
+def _finder(sent, document: str):
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        if not sent.value:
+            return
+        known = ahocorasick.Automaton()
+        for pattern, name in sent.value:
+            known.add_word(pattern, (name, len(pattern)))
+        known.make_automaton()
+        for frame in frames:
+            keys, names, places = [], [], []
+            for k, text in zip(frame[document], frame["_text"]):
+                first: dict[str, int] = {}
+                for end, (name, size) in known.iter(text):
+                    first.setdefault(name, end - size + 2)
+                keys += [k] * len(first)
+                names += first.keys()
+                places += first.values()
+            yield pd.DataFrame({document: pd.Series(keys, dtype=frame[document].dtype), "_name": pd.Series(names, dtype=object), "at": pd.Series(places, dtype="int32")})
+
+    return find
 
 
 def gold_in_input(items: DataFrame, golds: DataFrame, key: str, least_bytes: int = 4) -> DataFrame:
@@ -209,14 +323,25 @@ def gold_in_input(items: DataFrame, golds: DataFrame, key: str, least_bytes: int
     return rows.where((F.octet_length(gold) >= least_bytes) & F.contains(F.lower("input"), F.lower(gold)))
 
 
-def holdout_check(records: DataFrame, evaluation: DataFrame, key: str, acknowledged: bool) -> DataFrame:
-    """Training records of evaluation tasks: allowed only when the contamination is acknowledged."""
-    tasks = evaluation.select(F.col(key).alias("_task")).distinct()
+def holdout_check(
+    records: DataFrame, evaluation: DataFrame, key: str, acknowledged: bool, prompt: str | None = None
+) -> DataFrame:
+    """Training records of evaluation tasks: allowed only when the contamination is acknowledged.
+
+    A record is of an evaluation task if it has its key or, where ``prompt`` names the text in both tables, a prompt that is the
+    same but for case and white space.  Empty prompts are the same as none.
+    """
+    tasks = evaluation.select(F.col(key).alias("_task")).where("_task IS NOT NULL").distinct()
     rows = records.join(tasks, F.col(key) == F.col("_task"), "left")
     derived = F.col("_task").isNotNull()
+    if prompt:
+        print_of = lambda name: F.when(collapsed_text(F.col(prompt)) != "", F.sha2(collapsed_text(F.col(prompt)), 256)).alias(name)
+        prompts = evaluation.select(print_of("_prompt")).where("_prompt IS NOT NULL").distinct()
+        rows = rows.withColumn("_own", print_of("_own")).join(prompts, F.col("_own") == F.col("_prompt"), "left")
+        derived = derived | F.col("_prompt").isNotNull()
     return rows.withColumn("benchmark_derived", derived).withColumn(
-        "allowed", ~derived | F.lit(acknowledged)
-    ).drop("_task")
+        "allowed", ~F.col("benchmark_derived") | F.lit(acknowledged)
+    ).drop("_task", "_own", "_prompt")
 
 
 def counter_delta_join(scrapes: DataFrame, windows: DataFrame, source: str, counters: Sequence[str]) -> DataFrame:

@@ -241,6 +241,35 @@ def _(t):
     return ops.holdout_check(t.documents.select("doc_id"), t.labels.select("doc_id"), "doc_id", acknowledged=False)
 
 
+@query(
+    "benchmark_text_search",
+    r"""WITH p AS (SELECT item_id, 'whole' AS part, text FROM benchmark UNION ALL SELECT item_id, 'start', left(text, 24) FROM benchmark UNION ALL
+         SELECT item_id, 'word', split_part(text, ' ', 2) FROM benchmark),
+       q AS (SELECT item_id, part, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS pattern FROM p)
+       SELECT doc_id, item_id, part, instr(lower(text), pattern)::int AS at FROM documents, q WHERE strlen(pattern) >= 4 AND
+         contains(lower(text), pattern)""",
+)
+def _(t):
+    parts = [("whole", F.col("text")), ("start", F.left("text", F.lit(24))), ("word", F.split_part("text", F.lit(" "), F.lit(2)))]
+    patterns = t.benchmark.select("item_id", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), c.alias("text")) for n, c in parts])).alias("p"))
+    patterns = patterns.select(F.struct("item_id", "p.part").alias("key"), "p.text")
+    found = ops.texts_within(t.documents, patterns, "doc_id", "text", "key", "text")
+    return found.select("doc_id", "key.item_id", "key.part", "at")
+
+
+@query(
+    "holdout_prompts",
+    r"""WITH e AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+       SELECT doc_id, d.doc_id IN (SELECT doc_id FROM labels) OR e.p IS NOT NULL AS benchmark_derived,
+         NOT (d.doc_id IN (SELECT doc_id FROM labels) OR e.p IS NOT NULL) AS allowed FROM documents d LEFT JOIN e ON e.p <> '' AND
+         e.p = trim(regexp_replace(lower(d.text), '\s+', ' ', 'g'))""",
+)
+def _(t):
+    evaluation = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    got = ops.holdout_check(t.documents.select("doc_id", "text"), evaluation, "doc_id", acknowledged=False, prompt="text")
+    return got.select("doc_id", "benchmark_derived", "allowed")
+
+
 @query(
     "counter_delta_join",
     """WITH s AS (SELECT user_id, epoch_us(ts) AS ts, event_id, floor(value)::bigint AS draft, event_id AS accepted FROM events

@@ -1,5 +1,7 @@
 """Jobs against brute force and small fixtures."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -39,6 +41,51 @@ def test_nearest_vocab_finds_what_brute_force_finds(spark):
     assert got == want
 
 
+def test_nearest_short_and_long_words_of_few_letters(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.choice([0, 1, 2, 3, 3, 5, 9, 11, 12, 13, 14, 16])))
+    vocabulary, labels = sorted({word() for _ in range(90)}), sorted({word() for _ in range(120)})
+    frames = [spark.createDataFrame([(x,) for x in xs] + [(None,)], "x string") for xs in (labels, vocabulary)]
+    got = {r.x: (r.distance, r.nearest) for r in joins.nearest_vocab(*frames, "x", "x").collect()}
+    best = {label: min((distance(label, w), w) for w in vocabulary) for label in labels}
+    assert got == {label: b for label, b in best.items() if b[0] < 4}
+
+
+def test_no_key_of_short_words_is_large(spark):
+    """All words of up to three letters share the empty text, yet its key holds one row for each way to get there."""
+    letters = [chr(97 + i) for i in range(26)]
+    words = [(a + b + c,) for a in letters for b in letters for c in letters]
+    index = joins._deletions(spark.createDataFrame(words, "_word string"), "_word", 3).groupBy("_kept", "_marks").agg(F.min("_word"))
+    assert index.groupBy("_kept").count().agg(F.max("count")).first()[0] <= 10
+
+
+@pytest.mark.parametrize("scan_bytes", [1 << 20, 60])
+def test_texts_within_documents(spark, scan_bytes):
+    r = random.Random(2)
+    base = " ".join(r.choice(["alpha", "Beta", "ÉTÉ", "the", "日本"]) for _ in range(4000))
+    texts = [(i, base[i * 7 : i * 7 + r.choice([0, 3, 40, 400])]) for i in range(60)] + [(100, None), (101, ""), (102, base), (103, "the THE thE the")]
+    patterns = [(i, base[p : p + n]) for i, (p, n) in enumerate((r.randrange(3000), r.choice([2, 5, 9, 30, 200])) for _ in range(60))]
+    patterns += [(200, "the"), (201, " The t "), (202, None), (203, ""), (204, "  "), (205, patterns[3][1]), (206, "absent text")]
+    got = joins.texts_within(
+        spark.createDataFrame(texts, "doc long, body string"), spark.createDataFrame(patterns, "id long, part string"),
+        "doc", "body", "id", "part", scan_bytes=scan_bytes,
+    )
+    want = []
+    for d, t in texts:
+        for i, p in patterns:
+            p = (p or "").strip().lower()
+            if t and len(p.encode()) >= 4 and p in t.lower():
+                want.append((d, i, t.lower().index(p) + 1))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
+def test_holdout_by_prompt(spark):
+    records = spark.createDataFrame([(1, "Ask  me"), (2, "other"), (3, " ask ME\n"), (4, None), (5, ""), (None, "ask me!")], "task long, prompt string")
+    evaluation = spark.createDataFrame([(2, "x"), (9, "ask me"), (8, ""), (None, None)], "task long, prompt string")
+    got = joins.holdout_check(records, evaluation, "task", False, "prompt").collect()
+    assert {r.task: r.allowed for r in got} == {1: False, 2: False, 3: False, 4: True, 5: True, None: True}
+
+
 def test_compare_against_median_baseline(spark):
     runs = spark.createDataFrame(
         [("a", "fp16", 100.0), ("b", "Q4_K_M", 200.0), ("c", "Q4_K_M", 50.0), ("d", "Q4_K_M", 0.0)],
