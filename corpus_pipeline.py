@@ -1,4 +1,4 @@
-"""A training corpus in five stages: toxicity, line dedup, near-dedup (stage "simhash dedup"), decontamination, packing.
+"""A training corpus in five stages: toxicity, line dedup, SimHash near-dedup, decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept; all but the last
 return the columns of ``documents``.
@@ -13,7 +13,7 @@ from benchloom.llm.common import stored, table
 from benchloom.llm.decontamination import without_benchmark
 from benchloom.llm.line_dedup import LONG_WORDS, without_recurring_lines
 from benchloom.llm.packing import pack
-from benchloom.llm.simhash_dedup import keep_one_similar
+from benchloom.llm.simhash_dedup import keep_one
 from benchloom.llm.toxicity import without_toxic
 
 
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word similarity of 0.8 or more stays."""
-    return keep_one_similar(docs, words=5, least=0.8)
+    """One document of each group of near duplicates stays: three-word shingles, fingerprints at most two bits apart."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier chain and the tokenizer have no form in SQL.  tests/llm checks the columns and ids of the stages, near-dedup
-#: against brute force, and the operators; no test checks the whole result.
+#: The classifier chain and the tokenizer have no form in SQL.  tests/llm checks the columns and ids of the stages and
+#: the operators, near-dedup against brute force; no test checks the whole result.
 ORACLE_SQL = None
