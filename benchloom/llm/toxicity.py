@@ -173,9 +173,14 @@ def fit_chain(
     least_docs: int = LEAST_DOCS,
     features: int = FEATURES,
 ) -> Chain:
-    """Fit the chain on labelled ``docs`` (``doc_id``, ``text``)."""
-    marks = labels.groupBy("doc_id").agg(*[F.max(F.expr(sql)).cast("double").alias(n) for n, sql in categories.items()])
-    marks = marks.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(train_rows)
+    """Fit the chain on at most ``train_rows`` labelled ``docs`` (``doc_id``, ``text``), whatever else is labelled.
+
+    A label is a number from 0 to 1; anything else is none.
+    """
+    given = lambda sql: F.max(F.when(F.expr(sql).between(0, 1), F.expr(sql))).cast("double")
+    marks = labels.groupBy("doc_id").agg(*[given(sql).alias(n) for n, sql in categories.items()])
+    marks = marks.where(F.coalesce(*categories).isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi")
+    marks = marks.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(train_rows)
     # At most train_rows short rows.
     marks = stored(marks, "labels")
 
