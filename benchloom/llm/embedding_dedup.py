@@ -14,7 +14,7 @@ first table and cell where it meets, which the projections of the two tell.  No
 one count per vector and a spanning forest.  A large cell is compared as pairs of blocks in many tasks.
 
 Defined results: a null vector, a vector of zeros, or one with a null or non-finite component has no links and
-is its own component; vectors of different length have no links; a null id is no component id of others; repeated
+is its own component, while any other magnitude counts; vectors of different length have no links; a null id is no component id of others; repeated
 rows are vectors of their own that link with each other; other columns are ignored; no rows give no rows.
 """
 
@@ -104,6 +104,8 @@ def _cells(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
+    # Largest component first, so that no square overflows or vanishes.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -145,8 +147,7 @@ def _usable(vector) -> bool:
     if vector is None:
         return False
     x = np.array(vector, np.float64)
-    with np.errstate(over="ignore"):
-        return bool(len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf)
+    return bool(len(x) and np.isfinite(x).all() and x.any())
 
 
 def link_vectors(rows: DataFrame, cosine: float = 0.95, cell_size: int = CELL, block: int = BLOCK, seed: int = 3) -> DataFrame:
