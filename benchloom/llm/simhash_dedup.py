@@ -241,93 +241,6 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     return marked.join(first.select(F.col("m.__row").alias("__row")), "__row", "left_semi").drop("__row")
 
 
-#: Hashes of a band and bands of a row: of pairs at a similarity of 0.8, 1 - (1 - 0.8 ** 5) ** 24 = 99.993 % share one.
-BAND, BANDS = 5, 24
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted hashes of the different shingles; a text with fewer words is one shingle, one without words none."""
-    found = WORD.findall((text or "").encode().translate(LOWER))
-    if not found:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.array(sorted({digest(b" ".join(found[i : i + words])) for i in range(max(len(found) - words + 1, 1))}), np.uint64)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key per band from the least of each of BAND * BANDS orders of the shingles."""
-    rng = np.random.default_rng(11)
-    odd = rng.integers(0, 1 << 63, BAND * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, BAND * BANDS, np.uint64)
-    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1 << 12):
-        h = shingles[i : i + (1 << 12), None] * odd + plus
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        least = np.minimum(least, h.min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, BAND))], np.uint64)
-
-
-def similar_groups(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """``row``, ``group`` of every row of ``docs`` (``row``, ``text``): rows linked by a similarity (Jaccard, of
-    shingles) of ``least`` or more.
-
-    Equal sets of shingles are one point.  Points that share a band are candidates and every link is verified by its
-    exact similarity.  First each point is held against the first one of its bands; then only points of one band
-    that are not connected yet are, so a large group of copies makes few pairs.
-    """
-
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, words) for t in frame["text"]]
-            keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-            marks = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]
-            yield pd.DataFrame({"row": frame["row"], "mark": marks, "shingles": [x.view(np.int64) for x in sets], "bands": keys})
-
-    made = docs.select("row", "text").mapInPandas(make, "row long, mark string, shingles array<long>, bands array<long>")
-    made = stored(made, "shingles")
-    first = stored(made.groupBy("mark").agg(F.min("row").alias("point")), "points")
-    points = made.join(first.select(F.col("point").alias("row")), "row", "left_semi")
-    sets = points.select("row", "shingles")
-    bands = stored(points.select("row", F.explode("bands").alias("band")), "bands")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("u <> v").distinct()
-        both = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u")
-        both = both.join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
-        sizes = F.size("a") + F.size("b")
-        same = F.size(F.array_intersect("a", "b"))
-        return stored(both.where(same >= (sizes - same) * F.lit(least) - F.lit(1e-9)).select("u", "v"), "similar")
-
-    heads = bands.groupBy("band").agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    links = verified(bands.join(heads, "band").select(F.col("row").alias("u"), "v"))
-    groups = stored(components(links), "groups")
-    own = bands.join(groups, bands["row"] == groups["node"], "left").select(
-        "band", "row", F.coalesce("component", "row").alias("component")
-    )
-    own = stored(own, "own")
-    open_bands = own.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
-    left = own.join(open_bands, "band", "left_semi")
-    other = left.select("band", F.col("row").alias("v"), F.col("component").alias("c"))
-    more = verified(left.join(other, "band").where("component < c").select(F.col("row").alias("u"), "v"))
-    groups = stored(components(links.unionByName(more)), "groups")
-    named = first.join(groups, first["point"] == groups["node"], "left").select(
-        "mark", F.coalesce("component", "point").alias("group")
-    )
-    return made.select("row", "mark").join(named, "mark").select("row", "group")
-
-
-def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents without near duplicates of a similarity of ``least`` or more: of each group the row with the
-    smallest id stays, with all its columns.  Texts without words are equal."""
-    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    found = similar_groups(marked.select(F.col("__row").alias("row"), "text"), words, least)
-    ids = marked.select("__row", "doc_id").join(found, F.col("__row") == F.col("row"))
-    first = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("m"))
-    return marked.join(first.select(F.col("m.__row").alias("__row")), "__row", "left_semi").drop("__row")
-
-
 def op9_simhash_dedup(spark, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 

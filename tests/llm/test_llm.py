@@ -207,40 +207,54 @@ def test_simhash(spark, texts):
     assert simhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-def similar_rows(rows, least=0.8):
-    """Brute force: the pairs of rows with a five-word Jaccard of at least ``least``, and the places that stay."""
-
-    def shingles(t):
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        return {b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+def test_pipeline_keeps_one_of_near_fingerprints(spark, texts):
+    """The stage keeps the first of each group of fingerprints linked within two bits."""
+    import corpus_pipeline
 
-    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
-    for i, a in enumerate(sets):
+    r = random.Random(12)
+    rows = list(texts)
+    for i in range(30):
+        w = [f"s{i}w{r.randrange(300)}" for _ in range(400)]
+        rows += [(2000 + 10 * i + k, " ".join([*w[: 399 - k], f"edit{i}x{k}"])) for k in range(4)]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
         for j in range(i):
-            b = sets[j]
-            if a == b or (a and b and len(a & b) >= least * len(a | b) - 1e-9):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
                 x, y = up[i], up[j]
                 up = [y if k == x else k for k in up]
-    return [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if up[k] == g) for g in set(up)]
-
+    want = [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if up[k] == g) for g in set(up)]
+    kept = corpus_pipeline.simhash_dedup(spark, docs_of(spark, rows), "").collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept) == sorted(want)
+    assert len(rows) - 40 > len(want)
 
-def test_similar_texts(spark, texts):
-    import corpus_pipeline
 
-    r = random.Random(12)
-    rows = list(texts)
-    for i in range(40):
-        w = [f"s{i}w{r.randrange(300)}" for _ in range(100)]
-        rows.append((2000 + 10 * i, " ".join(w)))
-        for k in range(1, 4):  # k changed words: 96 shingles, 5 k of them other
-            v = list(w)
-            for at in range(k):
-                v[10 + 20 * at + k] = f"edit{i}x{k}"
-            rows.append((2000 + 10 * i + k, " ".join(v)))
-    base = [f"big{k}" for k in range(200)]
-    rows += [(5000 + k, " ".join([*base[:100], f"own{k}", *base[100:]])) for k in range(60)]
-    kept = corpus_pipeline.simhash_dedup(spark, docs_of(spark, rows), "").collect()
-    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept) == sorted(similar_rows(rows))
+def test_labels_of_other_documents_do_not_use_up_the_sample(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(r.choice(["vile", "nasty"] if bad and k % 3 == 0 else ["tree", "river", "stone"]) for k in range(20))))
+        labels.append((i, 1, int(bad), "x"))
+    labels += [(10_000 + i, 1, i % 2, "x") for i in range(5_000)] + [(i, None, None, "x") for i in range(20_000, 20_500)] + [(None, 1, 1, "x")]
+    # Labels beyond 0 and 1 are none.
+    labels += [(i, 5, 7, "x") for i in range(400)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    chain = toxicity.fit_chain(docs_of(spark, rows), marks, train_rows=400)
+    got = chain.score(docs_of(spark, rows)).select("doc_id", "p_toxic").collect()
+    assert all((g["p_toxic"] >= toxicity.THRESHOLD) == (g["doc_id"] % 4 == 0) for g in got)
+
+
+def test_vectors_of_any_magnitude_link(spark):
+    r = np.random.default_rng(2)
+    base = r.standard_normal((6, 8))
+    rows = [(10 * i + k, (v * scale).tolist()) for i, v in enumerate(base) for k, scale in enumerate((1.0, 1e200, 1e-200, 3e-310))]
+    rows += [(100, [1e308] * 8), (101, [5e-324] * 8), (102, [0.0] * 8)]
+    got = {g["vec_id"]: g for g in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = lambda v: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())
+    for i, v in rows:
+        near = [j for j, w in rows if j != i and any(v) and any(w) and unit(v) @ unit(w) >= 0.95]
+        assert got[i]["n_links"] == len(near)
 
 
 def test_vantage_points_find_all_pairs(spark):
