@@ -11,12 +11,12 @@ from benchloom.streaming import jobs
 
 def event_feed(t):
     """The events as a stream that ends, and what ends it."""
-    feed = jobs.Feed(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
+    feed = jobs.Feed(t.spark, f"{t.folder}/events.parquet", t.events.schema, "ts")
     return jobs.with_event_time(feed.rows), feed
 
 
 def event_stream(t):
-    return jobs.with_event_time(jobs.read_stream(t.spark, t.folder, t.events.schema, "events.parquet"))
+    return jobs.with_event_time(jobs.read_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema))
 
 
 @query(
@@ -134,7 +134,7 @@ def _(t):
        d.doc_id = l.doc_id""",
 )
 def _(t):
-    results = jobs.read_stream(t.spark, t.folder, t.labels.schema, "labels.parquet").select("doc_id", "quality")
+    results = jobs.read_stream(t.spark, f"{t.folder}/labels.parquet", t.labels.schema).select("doc_id", "quality")
     catalog = t.documents.where(F.col("lang") != "de").select("doc_id", F.col("lang").alias("task"), "source")
     return jobs.run_to_files(jobs.coverage_join(results, catalog, "doc_id"), "coverage")
 

@@ -22,31 +22,29 @@ CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabl
 END = "9999-01-01 00:00:00"
 
 
-def read_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", per_batch: int = 1 << 27
-) -> DataFrame:
-    """A folder of parquet files as a stream; a batch takes files of at most ``per_batch`` bytes (one at least), so a backlog
-    is worked off in bounded steps.  Results do not depend on it."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    return reader.option("maxBytesPerTrigger", per_batch).parquet(folder)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 1 << 27) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream; a batch takes files of at most ``per_batch`` bytes (one at
+    least), so a backlog is worked off in bounded steps.  Results do not depend on it."""
+    # A plain path of a stream may only be a folder; a pattern, here of the last letter, finds a file as well.
+    path = path.rstrip("/")
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 class Feed:
-    """A folder of files as a stream that can be ended.
+    """A table, one file or a folder of files, as a stream that can be ended.
 
     Windows, sessions and rows put aside come out when the watermark passes them, and the watermark follows the events; so what came
     last would wait for ever.  ``end`` puts one row without values and with the time ``END`` beside the data, and the watermark
     passes everything.
     """
 
-    def __init__(
-        self, spark: SparkSession, folder: str, schema: T.StructType, time: str, glob: str = "*.parquet", per_batch: int = 1 << 27
-    ):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, time: str, per_batch: int = 1 << 27):
         self.spark, self.time = spark, time
         self.last = spark.createDataFrame([], schema)
         self.beside = new_path(spark, "feed-end")
         self.last.write.parquet(self.beside)
-        data = read_stream(spark, folder, schema, glob, per_batch)
+        data = read_stream(spark, path, schema, per_batch)
         self.rows = data.unionByName(read_stream(spark, self.beside, schema))
 
     def end(self) -> None:

@@ -163,3 +163,21 @@ def test_dedupe_over_batches(feed):
     got = jobs.run_updates(jobs.dedupe_results(shape(stream()[0].where("event_id IS NOT NULL")), ["event_type"]), ["event_type"], "x")
     want = table.groupBy("event_type").agg(F.max("event_id").alias("event_id"), F.max_by("user_id", "event_id").alias("user_id"))
     assert keys(got, "event_type", "event_id", "user_id") == keys(want, "event_type", "event_id", "user_id")
+
+
+@pytest.mark.parametrize("stored", ["file", "folder"])
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path, stored):
+    """Large tables are folders of files; a stream of one has all rows."""
+    rows = spark.range(40).select("id", F.lit(datetime(2024, 1, 1)).alias("ts")).repartition(1 if stored == "file" else 4)
+    rows.write.parquet(str(tmp_path / "made"))
+    table = tmp_path / "labels.parquet"
+    if stored == "file":
+        next((tmp_path / "made").glob("*.parquet")).rename(table)
+    else:
+        (tmp_path / "made").rename(table)
+    (tmp_path / "labels.parquex").mkdir()
+    schema = spark.read.parquet(str(table)).schema
+    got = jobs.run_to_files(jobs.read_stream(spark, str(table), schema, per_batch=1), "whole")
+    assert sorted(r.id for r in got.collect()) == list(range(40))
+    fed = jobs.Feed(spark, str(table) + "/", schema, "ts")
+    assert jobs.run_to_files(jobs.watermarked(fed.rows, "1 hour"), "fed", fed).count() == 40
