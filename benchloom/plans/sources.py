@@ -18,9 +18,8 @@ def _(t):
     inner = F.struct(k.alias("id"), F.col("s_name").alias("hfId"), F.when(k % 3 > 0, F.col("s_acctbal")).alias("tokSOut"))
     good = F.when(k % 2 == 0, F.to_json(F.struct(inner.alias("payload")))).otherwise(F.to_json(inner))
     path = new_path(t.spark, "runs")
-    docs = t.supplier.select(F.when(k % 7 == 0, "[1, 2").otherwise(good).alias("value"), k.alias("run"))
-    docs.repartition(8, "run").write.partitionBy("run").text(path)
-    runs = readers.scan_runs(t.spark, path, glob="*.txt")
+    writers.write_documents(t.supplier.select(F.when(k % 7 == 0, "[1, 2").otherwise(good).alias("value")), path)
+    runs = readers.scan_runs(t.spark, path)
     return readers.typed_head(runs, {"run": "id bigint", "model": "hfId string", "tok_s_out": "tokSOut double"}).select(
         "run", "model", "tok_s_out"
     )

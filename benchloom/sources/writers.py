@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import uuid
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +44,48 @@ def write_csv(runs: DataFrame, fields: Sequence[str], path: str) -> None:
     texts.write.option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
+#: Folders that documents of their own are dealt to, so that their files are written and listed by many tasks.
+FOLDERS = 64
+
+
+def _target(uri: str):
+    """File system and path of a folder, given as a plain path or with a scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def write_documents(documents: DataFrame, path: str, text: str = "value", ending: str = ".json") -> int:
+    """Every row's text as a file of its own below ``path``, in folders; returns the number of files.
+
+    Files are named by their text and, for equal texts, a number, so a repeated task writes the same files.  A null text is an
+    empty file.  The tasks write the files themselves: Spark's own writer lists and moves each one in the driver.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _target(path)
+        seen, made = Counter(), set()
+        for batch in batches:
+            for folder, value in zip(batch.column("folder").to_pylist(), batch.column("text").to_pylist()):
+                name = hashlib.sha256(data := value or b"").hexdigest()
+                if folder not in made:
+                    system.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                seen[name] += 1
+                target = f"{root}/{folder}/{name}-{seen[name]}{ending}"
+                # Under another name first, so that a file is whole or absent.
+                with system.open_output_stream(own := f"{target}.{uuid.uuid4().hex}") as out:
+                    out.write(data)
+                system.move(own, target)
+        yield pa.RecordBatch.from_pydict({"files": [sum(seen.values())]}, pa.schema([("files", pa.int64())]))
+
+    system, root = _target(path)
+    system.create_dir(root, recursive=True)
+    folder = F.pmod(F.xxhash64(text), F.lit(FOLDERS)).alias("folder")
+    dealt = documents.select(folder, F.col(text).cast("binary").alias("text")).repartition(FOLDERS, "folder")
+    return dealt.mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def write_training_split(
     records: DataFrame, messages: DataFrame, path: str, order: str, key: str = "id", limit: int = MESSAGE_BYTES
 ) -> None:

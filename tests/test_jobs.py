@@ -293,6 +293,20 @@ def test_run_scan(spark, tmp_path):
     assert readers.scan_runs(spark, default=str(tmp_path / "none")).count() == 0
 
 
+def test_documents_as_files(spark, tables, tmp_path):
+    """One file per row whatever the rows hold, in a fixed number of folders, so no folder per run has to be made and listed."""
+    texts = [f'{{"id": {i}}}' for i in range(300)] + ['{"id": 7}', "[1, 2", None, '{"id": "a\\nb"}\n']
+    path = tmp_path / "runs of a day"
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert tables.supplier.count() > 0 and writers.write_documents(rows, str(path)) == len(texts)
+    files = [f for f in path.rglob("*") if f.is_file()]
+    assert sorted(f.read_text() for f in files) == sorted(t or "" for t in texts)
+    assert len(list(path.iterdir())) <= writers.FOLDERS and {f.suffix for f in files} == {".json"}
+    assert readers.scan_runs(spark, str(path)).count() == 302
+    assert writers.write_documents(rows.limit(0), str(tmp_path / "none")) == 0
+    assert readers.scan_runs(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_csv_export(spark, tmp_path):
     df = spark.createDataFrame([("p", None, 1.0, 0.25, [1, 2])], "path string, hf_id string, a double, b double, c array<int>").withColumn("props", F.lit("{}"))
     writers.write_csv(df, ["path", "model", "a", "b", "c"], str(tmp_path / "out"))
