@@ -176,8 +176,8 @@ def _(t):
 def _(t):
     from benchloom.operators.inventory import integrity_check
 
-    listed = readers.scan_hashes(t.spark, t.folder, "*.parquet")
-    return integrity_check(listed, readers.scan_hashes(t.spark, t.folder, "*.parquet")).select("path", "status")
+    listed = readers.scan_range_hashes(t.spark, t.folder, "*.parquet")
+    return integrity_check(listed, readers.scan_range_hashes(t.spark, t.folder, "*.parquet")).select("path", "status")
 
 
 @query(

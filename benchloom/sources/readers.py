@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from benchloom.functions.text import first_non_empty
 from benchloom.operators.scoring import harness_entry
 from benchloom.operators.training import parse_trace_lines
+from benchloom.session import ship
 
 RUN_SCHEMA = "path string, updated_at timestamp, payload string"
 
@@ -215,11 +220,70 @@ def scan_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def scan_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Size and hash of every file below a folder, from its content."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(path)
-    )
+    """Size and SHA-256 of every file below a folder, from its content: one task reads a file, and none may exceed 2 GB."""
+    files = _below(spark, "binaryFile", path, glob)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def _below(spark: SparkSession, form: str, path: str, glob: str) -> DataFrame:
+    reader = spark.read.format(form).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    # Only for text: nothing but a line feed ends a line, so the lines and the size tell every byte.
+    return reader.option("lineSep", "\n").load(path)
+
+
+#: Larger files are hashed by several tasks.
+WHOLE = 1 << 27
+# Fixed value: endings that Hadoop unpacks, so such a file is not read as it is by lines.
+PACKED = r"\.(?:gz|bz2|deflate|snappy|lz4|zst|passthrough)$"
+# A prime, and a number below it.
+_PRIME, _BASE = 2**255 - 19, int.from_bytes(hashlib.sha256(b"lines").digest(), "big") >> 2
+
+
+def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number and digest of the lines of each range of a file; a range is read by one task, in order."""
+    found: dict[tuple[str, int], tuple[int, int]] = {}
+    sha256, number = hashlib.sha256, int.from_bytes
+    for batch in batches:
+        file, start, values = batch.column("file"), batch.column("start"), batch.column("value").to_pylist()
+        runs = [pc.run_end_encode(c).run_ends.to_pylist() for c in (file, start)]
+        at = 0
+        for end in sorted({*runs[0], *runs[1]}):
+            key = file[at].as_py(), start[at].as_py()
+            n, total = found.get(key, (0, 0))
+            for value in values[at:end]:
+                total = (total * _BASE + number(sha256(value).digest(), "big")) % _PRIME
+            found[key] = n + end - at, total
+            at = end
+    rows = [{"file": f, "start": s, "n": n, "digest": d.to_bytes(32, "big")} for (f, s), (n, d) in found.items()]
+    yield pa.RecordBatch.from_pylist(
+        rows, pa.schema([("file", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+    )
+
+
+def _file_digest(ranges: pd.DataFrame) -> pd.DataFrame:
+    """The digest of a file's lines from those of its ranges, however it was cut into them."""
+    total = 0
+    for n, digest in ranges.sort_values("start")[["n", "digest"]].itertuples(index=False):
+        total = (total * pow(_BASE, int(n), _PRIME) + int.from_bytes(digest, "big")) % _PRIME
+    return pd.DataFrame({"file": ranges["file"].iloc[:1], "sha256": [f"lines:{total:064x}"]})
+
+
+def scan_range_hashes(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """``scan_hashes`` for files of any size, to compare two listings made this way.
+
+    A file of more than ``whole`` bytes is read in ranges by many tasks: its hash is ``lines:`` and a polynomial over the SHA-256 of
+    its lines, which does not depend on the ranges but is not the file's SHA-256, since that can only be taken in one go.
+    A stretch without a line feed stays in one task, and packed files (``PACKED``) are hashed whole.
+    """
+    ship(spark)
+    name = F.col("_metadata.file_path")
+    parted = (F.col("_metadata.file_size") > whole) & ~name.rlike(PACKED)
+    files = _below(spark, "binaryFile", path, glob)
+    small = files.where(~parted).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    lines = _below(spark, "text", path, glob).where(parted)
+    lines = lines.select(name.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    ranges = lines.mapInArrow(_line_digests, "file string, start long, n long, digest binary")
+    digests = ranges.groupBy("file").applyInPandas(_file_digest, "file string, sha256 string")
+    # A file without lines is empty, and so never large.
+    large = files.where(parted).select("path", F.col("length").alias("size"), name.alias("file")).join(digests, "file")
+    return small.unionByName(large.drop("file"))

@@ -293,6 +293,41 @@ def test_run_scan(spark, tmp_path):
     assert readers.scan_runs(spark, default=str(tmp_path / "none")).count() == 0
 
 
+def test_hashes_of_ranges(spark, tmp_path):
+    """A large file is read by many tasks; its digest does not depend on how it is cut, and any changed byte shows."""
+    rng = random.Random(5)
+    data = b"\xef\xbb\xbf" + rng.randbytes(300_000) + b"\r\n\n" + bytes(3_000) + rng.randbytes(50_000)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b c").mkdir()
+    (tmp_path / "a" / "large.bin").write_bytes(data)
+    (tmp_path / "a" / "small.bin").write_bytes(b"x\n")
+    (tmp_path / "a" / "packed.gz").write_bytes(data)
+    scan = lambda folder, n=1_000: readers.scan_range_hashes(spark, str(tmp_path / folder), whole=n)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    digests = set()
+    try:
+        for size in ("1g", "64k", "999b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in scan("a").collect()}
+            digests.add(got["large.bin"])
+            text = readers._below(spark, "text", str(tmp_path / "a" / "large.bin"), "*")
+            assert text.rdd.getNumPartitions() >= {"1g": 1, "64k": 6, "999b": 300}[size]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(digests) == 1 and got["large.bin"][0] == len(data) and got["large.bin"][1].startswith("lines:")
+    whole = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in readers.scan_hashes(spark, str(tmp_path / "a")).collect()}
+    assert got["small.bin"] == whole["small.bin"] and got["packed.gz"] == whole["packed.gz"]
+    assert len(got) == 3 and {r.path for r in scan("a").collect()} == {r.path for r in readers.scan_hashes(spark, str(tmp_path / "a")).collect()}
+    lines = data.split(b"\n")
+    swapped = b"\n".join([lines[0], lines[2], lines[1], *lines[3:]])
+    for i, other in enumerate([data[:-1] + bytes([data[-1] ^ 1]), data.replace(b"\r\n", b"\n\n"), swapped, data[:3] + b"\n" + data[4:]]):
+        (tmp_path / "b c" / f"{i}.bin").write_bytes(other)
+    (tmp_path / "b c" / "same.bin").write_bytes(data)
+    after = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in scan("b c").collect()}
+    assert after.pop("same.bin") == got["large.bin"]
+    assert len(after) == 4 and len({*after.values(), got["large.bin"]}) == 5
+
+
 def test_documents_as_files(spark, tables, tmp_path):
     """One file per row whatever the rows hold, in a fixed number of folders, so no folder per run has to be made and listed."""
     texts = [f'{{"id": {i}}}' for i in range(300)] + ['{"id": 7}', "[1, 2", None, '{"id": "a\\nb"}\n']
