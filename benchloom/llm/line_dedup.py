@@ -18,6 +18,9 @@ no rows give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +34,24 @@ SPACE = r"[ \t\r\f]+"
 FIELD = "<*>"
 
 
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """The lines that are not blank, tidied, with ``doc_id``, ``mark`` (a hash of the whole text) and ``place``."""
+    # Texts are hashed before they are cut: beside the cut, a text would be hashed once for each of its lines.
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("lines"))
+    lines = marked.select("doc_id", "mark", F.posexplode("lines").alias("place", "line"))
+    return lines.where(F.btrim("line", F.lit(" \t\r\f")) != "").withColumn("line", tidied(F.col("line")))
+
+
 def tidied(line: Column) -> Column:
-    """The line with single spaces; patterns run only where they match."""
-    tidy = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-    return F.when(line.rlike(r"[\t\r\f]|  |^ | $"), tidy).otherwise(line)
+    """The line with single spaces; the pattern runs only where it matches."""
+    ragged = reduce(or_, [F.contains(line, F.lit(s)) for s in ("  ", "\t", "\r", "\f")])
+    return F.trim(F.when(ragged, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
 def masked(single: Column) -> Column:
     """A tidied line with its tokens with digits as fields."""
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(single)
+    token = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, token, FIELD)).otherwise(single)
 
 
 def by_itself() -> Column:
@@ -56,11 +68,9 @@ def dropped_lines(
     docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """Places (from 0) of the lines to drop of every document that has some: ``doc_id``, ``mark``, ``drop``."""
-    numbers = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
     lines = (
-        numbers.withColumn("line", tidied(F.col("line")))
+        numbered_lines(docs)
         .withColumn("masked", masked(F.col("line")))
-        .where("masked <> ''")
         .select(
             "doc_id",
             "mark",
@@ -137,8 +147,7 @@ def _beyond_first(placed: DataFrame, min_docs: int) -> DataFrame:
 
 def long_equal_lines(docs: DataFrame, words: int = LONG_WORDS, min_docs: int = LONG_DOCS) -> DataFrame:
     """Places of the lines of at least ``words`` words that stand in ``min_docs`` documents, but the first of each."""
-    numbers = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = numbers.withColumn("line", tidied(F.col("line")))
+    lines = numbered_lines(docs)
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     # Two hashes: a line goes only if both agree with another's.
     template = F.struct(F.xxhash64("line"), F.xxhash64("line", F.lit(4)))
@@ -163,14 +172,15 @@ def without_recurring_lines(
     drop = drop.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
     own = F.xxhash64("text") == F.col("__mark")
     joined = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("__id")) & own, "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    cut = F.concat_ws("\n", F.transform(kept, lambda i: F.element_at(lines, i + 1)))
+    # The text is cut in a step of its own: inside the transform it would be cut once for each kept line.
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("drop"))
+    cut = F.concat_ws("\n", F.transform(kept, lambda i: F.element_at("__parts", i + 1)))
     return (
-        joined.withColumn("__lines", F.coalesce(F.size(lines), F.lit(0)))
+        joined.withColumn("__parts", F.split("text", "\n"))
+        .withColumn("__lines", F.coalesce(F.size("__parts"), F.lit(0)))
         .withColumn("__dropped", F.coalesce(F.size("drop"), F.lit(0)))
         .withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(cut))
-        .drop("__id", "__mark", "drop")
+        .drop("__id", "__mark", "__parts", "drop")
     )
 
 

@@ -536,3 +536,21 @@ def test_pipeline_stages_keep_columns(spark):
         assert out.columns == columns, name
         assert out.select("doc_id").subtract(docs.select("doc_id")).count() == 0
         docs = out
+
+
+def test_a_text_is_hashed_and_cut_once(spark):
+    """Not once for each of its lines; and lines are tidied as the patterns of the SQL say."""
+    from pyspark.sql import functions as F
+
+    texts = [" a\t b9c  d\r", "9", "x1 22y é", "plain words", "  ", "", "\f", "a  b", " 7 ", "ab12cd 3.4 <*>", "  1"]
+    lines = line_dedup.numbered_lines(docs_of(spark, [(1, "\n".join(texts)), (2, None)]))
+    got = {r.place: (r.line, r.masked) for r in lines.withColumn("masked", line_dedup.masked(F.col("line"))).collect()}
+    tidy = [re.sub("^ | $", "", re.sub("[ \t\r\f]+", " ", t)) for t in texts]
+    assert got == {i: (t, re.sub("[^ ]*[0-9][^ ]*", "<*>", t)) for i, t in enumerate(tidy) if t}
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = next(i for i, row in enumerate(plan) if "Generate posexplode" in row)
+    assert any("xxhash64(text" in row for row in plan[cut:]) and not any("xxhash64(text" in row for row in plan[:cut])
+    done = line_dedup.without_recurring_lines(docs_of(spark, [(i, "same line here\nown") for i in range(12)]))
+    plan = done._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("split(text" in row for row in plan if "transform(" in row)
+    assert {r.doc_id: r.text for r in done.collect()} == {0: "same line here\nown"} | dict.fromkeys(range(1, 12), "")
